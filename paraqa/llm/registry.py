@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontam, mixing, preference, quality, secrets, sharding, simhash, tokens
+from . import classifier, decontam, mixing, preference, quality, repeats, secrets, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": tokens.query,
     "op5_secret_scan": secrets.query,
     "op6_decontamination": decontam.query,
+    "op7_repeated_strings": repeats.query,
     "op8_simhash": simhash.query,
     "op9_classifier": classifier.query,
     "op10_sharding": sharding.query,
