@@ -21,10 +21,12 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,49 +36,118 @@ from pyspark.sql.window import Window
 from .common import as_bytes, documents, scratch_dir, staged
 
 END_ID = 1
-LEVEL = 6
+LEVEL = 3
 #: The dictionary is fitted on about so many documents, chosen by hash, with a piece of at most PIECE ids from each.
 SAMPLE, PIECE, DICTIONARY_BYTES = 1000, 4096, 1 << 16
 #: A block is closed once its frames have so many bytes.
 BLOCK_BYTES = 1 << 22
-#: Distinct words whose ids a task keeps at hand; beyond, it starts anew.
-MOST_WORDS = 500_000
+#: Distinct words whose ids a worker keeps at hand; beyond, it starts anew. Bytes of text that it encodes together, about.
+MOST_WORDS, AT_ONCE = 500_000, 1 << 23
+#: ASCII marks that are split off a word, the end of the Latin letters that take the short way, and the one that doesn't
+#: get one letter when lowered.
+MARKS, LATIN, DOTTED = b".,;:!?", chr(0x250), chr(0x130)
+
+
+def byte_letters() -> dict[int, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others in turn from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of whole texts from the tokenizers library. Its pre-tokenizer never joins across ASCII white space, so the ids
-    of a text are those of its words in a row, and each distinct word is encoded by the library once."""
+    """Ids of whole texts from the tokenizers library.
+
+    Its pre-tokenizer never joins across ASCII white space, letters and marks, and its normalizer lowers letters one by one.
+    So the ids of a text are those of its words in a row, those of a word of letters with marks behind it are the letters'
+    and the marks', and each distinct word is encoded once. Words of ASCII and Latin letters are already what the library's
+    normalizer and pre-tokenizer make of them, once lowered, and go straight to its model; all others go through all of it.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.dtype = np.dtype(f"<u{self.width}")
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        """The ids, serialized, with the end id."""
-        words = text.split()
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            if len(self.known) > MOST_WORDS:
-                self.known.clear()
-                new = list(dict.fromkeys(words))
-            for k in range(0, len(new), 10_000):
-                part = new[k : k + 10_000]
-                got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(part, got, strict=True))
-        return b"".join(map(self.known.__getitem__, words)) + END_ID.to_bytes(self.width, "little")
+        self.kind = "H" if self.width == 2 else "I"
+        self.end = END_ID.to_bytes(self.width, "little")
+        self.letters = byte_letters()
+        self.cores: dict[bytes, bytes] = {}  # lowered ASCII letters, and Latin letters as they are
+        self.wholes: dict[bytes, bytes] = {b"": b""}  # other words, and marks
+
+    def _core(self, text: str) -> bytes:
+        return array(self.kind, [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _whole(self, word: bytes) -> bytes:
+        if (got := self.wholes.get(word)) is None:
+            got = array(self.kind, self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+            self.wholes[word] = got
+        return got
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        if len(self.cores) > MOST_WORDS:
+            self.cores.clear()
+        if len(self.wholes) > MOST_WORDS:
+            self.wholes = {b"": b""}
+        cores, out = self.cores, []
+        for word in words:
+            core = word.rstrip(MARKS)
+            if core.isalpha():  # bytes: ASCII
+                key = core.lower()
+                if (got := cores.get(key)) is None:
+                    got = cores[key] = self._core(key.decode())
+            elif (got := cores.get(core)) is None:
+                if core.isascii() or not (text := core.decode("utf-8", "replace")).isalpha() or max(text) >= LATIN or DOTTED in text:
+                    out.append(self._whole(word))
+                    continue
+                got = cores[core] = self._core(text.lower().encode().decode("latin-1").translate(self.letters))
+            out.append(got + self._whole(word[len(core) :]) if len(core) < len(word) else got)
+        return out
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Of each of the texts (binary, UTF-8) the ids, serialized, with the end id. Arrow finds the distinct words of
+        slices of about AT_ONCE bytes, and numpy lays their ids out."""
+        size = np.diff(np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.binary() else np.int64)[texts.offset : texts.offset + len(texts) + 1])
+        slices = np.flatnonzero(np.diff(np.cumsum(size) // AT_ONCE, prepend=0)).tolist() if len(size) else []
+        for a, z in zip([0, *slices], [*slices, len(texts)], strict=True):
+            if a < z:
+                yield from self._slice(texts.slice(a, z - a))
+
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))  # x20 and x09 to x0D
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        ids = self._words(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        ends = np.cumsum(n)
+        tokens = flat[np.repeat((np.cumsum(sizes) - sizes)[word] - (ends - n), n) + np.arange(len(n) and ends[-1])].tobytes()
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))] * self.width
+        for a, z in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            yield tokens[a:z] + self.end
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process: later tasks find the words of earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for b in batches:
             out = []
-            for text, h in zip(b.column("text"), b.column("h"), strict=True):
-                ids = encode(text.as_py())
+            for ids, h in zip(encode(b.column("text")), b.column("h"), strict=True):
                 at = h.as_py() % max(1, len(ids) // encode.width - PIECE) * encode.width
                 out.append(ids[at : at + PIECE * encode.width])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
@@ -102,11 +173,10 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def _compress(path: str, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = Encoder(path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True)
+        encode, pack = encoder(path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True)
         for b in batches:
             n, frames = [], []
-            for text in b.column("text"):
-                ids = encode(text.as_py())
+            for ids in encode(b.column("text")):
                 n.append(len(ids) // encode.width)
                 frames.append(pack.compress(ids))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "tie", "n", "frame"])
