@@ -45,7 +45,7 @@ MOST_WINDOWS = SPREAD
 #: Bytes beside an anchor that part its pieces: a window has so many on the left of it, or else on the right.
 BESIDE = SPREAD // 2
 #: Bytes of text that a task looks at together, pieces it compares before it puts them out, and bytes of a slab.
-AT_ONCE, PIECES, SLAB = 1 << 22, 1 << 20, 1 << 22
+AT_ONCE, PIECES, SLAB = 1 << 22, 1 << 20, 1 << 20
 #: An anchor with more different pieces is dealt out with its neighbours' bytes.
 CROWD = 2000
 
@@ -287,38 +287,54 @@ class Rounds:
     """
 
     def __init__(self, pieces: list[bytes], folder: str):
-        self.m, self.folder = len(pieces), folder
+        self.m = len(pieces)
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         data = np.frombuffer(b"".join(pieces), np.uint8)
+        #: one byte for a symbol: UTF-8 has no byte 255; two where a text isn't UTF-8
+        self.symbol = np.dtype(np.uint8 if not (data == 255).any() else np.uint16)
         ends = np.cumsum(self.sizes)
         #: file of columns: for each round the symbols of the pieces that are that long, from their last byte on
         self.columns = []
-        with open(f"{folder}/columns", "wb") as f:
-            for j in range(int(self.sizes.max(initial=0))):
-                long = np.flatnonzero(self.sizes > j)
-                self.columns.append((f.tell(), len(long)))
-                (data[ends[long] - 1 - j].astype(np.uint16) + 1).tofile(f)
+        self.file = open(f"{folder}/columns", "w+b")  # noqa: SIM115
+        for j in range(int(self.sizes.max(initial=0))):
+            long = np.flatnonzero(self.sizes > j)
+            self.columns.append(len(long))
+            (data[ends[long] - 1 - j].astype(self.symbol) + self.symbol.type(1)).tofile(self.file)
+        self.file.seek(0)
+        # two files by turns: a round reads one from its start to its end and writes the other, over what was there
+        self.turns = [open(f"{folder}/{k}", "w+b") for k in range(2)]  # noqa: SIM115
+        self.n = 0
+
+    def close(self) -> None:
+        for f in (self.file, *self.turns):
+            f.close()
 
     def _write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        for name, x in (("bwt", bwt), ("lcp", lcp)):
-            x.tofile(f"{self.folder}/{name}.new")
-            os.replace(f"{self.folder}/{name}.new", f"{self.folder}/{name}")
+        self.turns.reverse()
+        self.turns[0].seek(0)
+        bwt.tofile(self.turns[0])
+        lcp.tofile(self.turns[0])
+        self.turns[0].flush()
+        self.n = len(bwt)
+
+    def _read(self) -> tuple[np.ndarray, np.ndarray]:
+        self.turns[0].seek(0)
+        return np.fromfile(self.turns[0], self.symbol, self.n), np.fromfile(self.turns[0], np.uint8, self.n)
 
     def _column(self, j: int) -> np.ndarray:
         """Symbols before the suffixes of j bytes; 0 for pieces that have no more, over pieces of at least j bytes."""
-        long = np.flatnonzero(self.sizes >= j)
-        out = np.zeros(len(long), np.uint16)
+        long = self.sizes[self.sizes >= j]
+        out = np.zeros(len(long), self.symbol)
         if j < len(self.columns):
-            at, n = self.columns[j]
-            out[self.sizes[long] > j] = np.fromfile(f"{self.folder}/columns", np.uint16, n, offset=at)
+            out[long > j] = np.fromfile(self.file, self.symbol, self.columns[j])
         return out
 
     @staticmethod
     def _steps(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Places in the order of symbol and place; the rank of each place in it; number of places without a symbol."""
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
+        order = np.argsort(bwt, kind="stable").astype(np.int32)
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(bwt), dtype=np.int32)
         return order, rank, int(np.count_nonzero(bwt == 0))
 
     def build(self) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +342,7 @@ class Rounds:
         self._write(self._column(0), np.zeros(self.m, np.uint8))
         newest = np.arange(self.m)  # the place of each piece's longest suffix, over pieces of at least j bytes
         for j in range(len(self.columns)):
-            bwt, lcp = np.fromfile(f"{self.folder}/bwt", np.uint16), np.fromfile(f"{self.folder}/lcp", np.uint8)
+            bwt, lcp = self._read()
             order, rank, none = self._steps(bwt)
             grows = self.sizes[self.sizes >= j] > j
             at = newest[grows]  # each of these suffixes gets its byte in front
@@ -341,7 +357,7 @@ class Rounds:
             total = len(bwt) + len(at)
             old = np.ones(total, bool)
             old[place] = False
-            new_bwt, new_lcp = np.empty(total, np.uint16), np.empty(total, np.uint8)
+            new_bwt, new_lcp = np.empty(total, self.symbol), np.empty(total, np.uint8)
             new_bwt[old], new_lcp[old] = bwt, lcp
             follows = place + 1 < total
             new_lcp[place[follows] + 1] = high[follows]
@@ -349,7 +365,7 @@ class Rounds:
             new_bwt[place] = self._column(j + 1)
             newest = place
             self._write(new_bwt, new_lcp)
-        return np.fromfile(f"{self.folder}/bwt", np.uint16), np.fromfile(f"{self.folder}/lcp", np.uint8)
+        return self._read()
 
     @staticmethod
     def _least(lcp: np.ndarray, start: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -382,7 +398,9 @@ class Rounds:
 def repeated(pieces: list[bytes], rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """rid and start of the windows that are the same as an earlier one in some of the pieces."""
     with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
-        piece, offset, group = Rounds(pieces, folder).equal_windows()
+        rounds = Rounds(pieces, folder)
+        piece, offset, group = rounds.equal_windows()
+        rounds.close()
     rids, starts = rid[piece], start[piece] + offset
     order = np.lexsort((starts, rids, group))
     again = np.zeros(len(order), bool)
