@@ -5,7 +5,8 @@ masks of SPAN positions. Each mask ignores two of the four interleaved classes o
 two substituted words has an equal hash under one of the six masks, at the same place. Equal hashes of test and training
 windows are joined; around each hit the two texts are laid side by side, and the longest run with a share of SIMILARITY
 equal words that touches the hit's window is measured. A text is contaminated by an item if the run has LEAST words, or
-the whole of an item that is shorter. Items shorter than SPAN are hashed whole.
+the whole of an item that is shorter. Items shorter than SPAN are hashed whole, those
+shorter than SHORTEST not at all.
 
 The benchmark is the query set: it is taken in blocks of about BLOCK_WORDS words, each broadcast by itself, whatever the
 benchmark's size; every text meets every block where it is read, without a shuffle.
@@ -29,9 +30,11 @@ from .common import documents
 
 WORD = re.compile(r"\w+")
 SPAN, CLASSES = 12, 4
-#: The positions that count under each mask: two classes of four.
-MASKS = tuple(tuple(k for k in range(SPAN) if k % CLASSES in (a, b)) for a in range(CLASSES) for b in range(a + 1, CLASSES))
+#: The two classes that count under each mask; position k is of class k % CLASSES.
+MASKS = tuple((a, b) for a in range(CLASSES) for b in range(a + 1, CLASSES))
 SIMILARITY, LEAST = 0.8, 13
+#: Items of fewer words are no evidence and match nothing: they stand in clean texts by chance.
+SHORTEST = 5
 #: Words in a block of the benchmark, about; a block has len(MASKS) hashes of 8 bytes for each, and their places.
 BLOCK_WORDS = 200_000
 #: Odd multipliers of the positions of a window, and of whole short items.
@@ -57,20 +60,35 @@ class Hasher:
         return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
-def window_hashes(h: np.ndarray, positions: tuple[int, ...], span: int, salt: int) -> np.ndarray:
-    """Hash of each window of `span` words, of those at `positions` only."""
-    n = len(h) - span + 1
+def mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def window_hashes(h: np.ndarray) -> list[np.ndarray]:
+    """For each mask, the hash of each window of SPAN words, of those in its classes only. Classes are summed once."""
+    n = len(h) - SPAN + 1
     if n < 1:
-        return np.zeros(0, np.uint64)
-    out = np.full(n, salt * 0x9E3779B97F4A7C15 % (1 << 64), dtype=np.uint64)
-    for k in positions:
-        out += h[k : k + n] * FACTORS[k]
-    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return [np.zeros(0, np.uint64)] * len(MASKS)
+    sums = []
+    for c in range(CLASSES):
+        x = h[c : c + n] * FACTORS[c]
+        for k in range(c + CLASSES, SPAN, CLASSES):
+            x += h[k : k + n] * FACTORS[k]
+        sums.append(x)
+    return [mixed(sums[a] + sums[b] + np.uint64(k)) for k, (a, b) in enumerate(MASKS)]
+
+
+def whole_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each window of n words, less than SPAN, all of them counted."""
+    out = np.full(max(0, len(h) - n + 1), 1000 + n, np.uint64)
+    for k in range(n):
+        out += h[k : k + len(out)] * FACTORS[k]
+    return mixed(out)
 
 
-def seeds_of(n: int) -> list[tuple[tuple[int, ...], int, int]]:
-    """Masks for an item of n words: positions, span, salt."""
-    return [(m, SPAN, 100 + k) for k, m in enumerate(MASKS)] if n >= SPAN else [(tuple(range(n)), n, n)] * (n > 0)
+def hashes_of(h: np.ndarray, lengths: list[int]) -> list[tuple[np.ndarray, int]]:
+    """Hashes and the span of their windows: under the masks, and whole for each of the lengths of short items."""
+    return [(x, SPAN) for x in window_hashes(h)] + [(whole_hashes(h, n), n) for n in lengths]
 
 
 class Block:
@@ -80,10 +98,8 @@ class Block:
         hasher = Hasher()
         self.ids = [ids for ids, _ in items]
         self.tokens = [hasher(words(text)) for _, text in items]
-        got: list[tuple[np.ndarray, int]] = []
-        for k, h in enumerate(self.tokens):
-            got += [(window_hashes(h, *seed), k) for seed in seeds_of(len(h))]
-        self.seeds = sorted({seed for h in self.tokens for seed in seeds_of(len(h))})
+        self.lengths = sorted({len(h) for h in self.tokens if SHORTEST <= len(h) < SPAN})
+        got = [(x, k) for k, h in enumerate(self.tokens) for x, span in hashes_of(h, [len(h)] * (SHORTEST <= len(h) < SPAN)) if len(x)]
         hashes = np.concatenate([x for x, _ in got]) if got else np.zeros(0, np.uint64)
         item = np.concatenate([np.full(len(x), k, np.int32) for x, k in got]) if got else np.zeros(0, np.int32)
         place = np.concatenate([np.arange(len(x), dtype=np.int32) for x, _ in got]) if got else np.zeros(0, np.int32)
@@ -96,8 +112,7 @@ class Block:
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Rows of (item, diagonal, first word, end) for every equal hash; each once."""
         found = []
-        for positions, span, salt in self.seeds:
-            x = window_hashes(h, positions, span, salt)
+        for x, span in hashes_of(h, self.lengths):
             at = np.flatnonzero(self.table[x >> self.shift])
             if not len(at):
                 continue
