@@ -16,6 +16,7 @@ than doc_id, text, lang, source and n_chars aren't read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from operator import eq
 
@@ -35,7 +36,7 @@ LABELLED, HELD = 12_000, 4
 ROUNDS, EXCHANGED, SURE = 2, 250, 0.98
 #: Hashed features of a view; features that a fit may use, and how far in standard errors its classes must differ there.
 DIMENSIONS, MOST_USED, LEAST_Z, LEAST_DOCS = 1 << 20, 3000, 3.0, 3
-#: Distinct words whose features a task keeps at hand; beyond, it starts anew.
+#: Distinct words whose features a worker keeps at hand; beyond, it starts anew.
 MOST_WORDS = 500_000
 #: A document is kept if it is as likely as not to be good, and not toxic.
 KEEP = 0.5
@@ -46,23 +47,32 @@ def feature(kind: str, value: bytes) -> int:
 
 
 class TextView:
+    """Features of a text: of each distinct word its letters and its marks, and how often a word repeats the last one."""
+
     def __init__(self):
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def of_word(w: bytes) -> bytes:
+        core = w.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        marks = w.replace(core, b"_", 1) if core else w
+        return array("i", (feature("word", core), feature("marks", marks))).tobytes()
 
     def __call__(self, raw: bytes) -> np.ndarray:
         words = raw.lower().split()
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        found: set[int] = set()
-        for w in set(words):
-            if (got := self.known.get(w)) is None:
-                core = w.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-                marks = w.replace(core, b"_", 1) if core else w
-                got = self.known[w] = (feature("word", core), feature("marks", marks))
-            found.update(got)
+        distinct, known = set(words), self.known
+        new = distinct.difference(known)
+        if len(known) + len(new) > MOST_WORDS:
+            known.clear()
+            new = distinct
+        for w in new:
+            known[w] = self.of_word(w)
         again = 100 * sum(map(eq, words, words[1:])) // max(1, len(words))
-        found.add(feature("again", b"%d" % again.bit_length()))
-        return np.fromiter(found, np.int32, len(found))
+        found = np.frombuffer(b"".join(map(known.__getitem__, distinct)), np.int32)
+        return np.unique(np.append(found, np.int32(feature("again", b"%d" % again.bit_length()))))
+
+
+_VIEW = TextView()  # one for each worker process: later tasks find the words of earlier ones
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -151,7 +161,7 @@ def _features(b: pa.RecordBatch, view: TextView) -> Iterator[tuple[int, np.ndarr
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    view = TextView()
+    view = _VIEW
     for b in batches:
         text, meta = [], []
         for _, t, m in _features(b, view):
@@ -183,7 +193,7 @@ CONFIDENT = pa.schema([("target", pa.string()), ("view", pa.int32()), ("label",
 
 def _confident(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, view = shared.value, TextView()
+        model, view = shared.value, _VIEW
         best: dict[tuple[str, int, int], list[tuple[float, int]]] = {}
         for b in batches:
             spots = b.column("spot").to_pylist()
@@ -259,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, view = shared.value, TextView()
+        model, view = shared.value, _VIEW
         for b in batches:
             out: list[tuple[float, ...]] = []
             for _, text, meta in _features(b, view):
