@@ -44,8 +44,9 @@ SPREAD = LENGTH - KGRAM + 1
 MOST_WINDOWS = SPREAD
 #: Bytes beside an anchor that part its pieces: a window has so many on the left of it, or else on the right.
 BESIDE = SPREAD // 2
-#: Bytes of text that a task looks at together, pieces it compares before it puts them out, and bytes of a slab.
-AT_ONCE, PIECES, SLAB = 1 << 22, 1 << 20, 1 << 20
+#: Bytes of text that a task looks at together (few enough for a core's cache), pieces it compares before it puts them out,
+#: and bytes of a slab.
+AT_ONCE, PIECES, SLAB = 1 << 18, 1 << 20, 1 << 20
 #: An anchor with more different pieces is dealt out with its neighbours' bytes.
 CROWD = 2000
 
@@ -266,7 +267,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for key, a, z in beside(piece, w["anchor"]):
                         out.append((key - (1 << 64) if key >> 63 else key, rid, w["start"] + a, piece[a : z + LENGTH - 1]))
             size += len(text)
-            if size >= AT_ONCE:
+            if size >= 16 * AT_ONCE:
                 yield _cut_batch(out)
                 out, size = [], 0
         if out:
