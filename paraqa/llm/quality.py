@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import as_bytes, batch, documents, staged
 
@@ -164,7 +165,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     fences = staged(limits(count_signals(docs).withColumn("base_failed", base_failed()).where("not base_failed")), "quality-limits")
     whole = F.struct("*").alias("row")
     rows = as_bytes(docs, whole, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    schema = f"row {docs.schema.simpleString()}, lang string, source string, " + ", ".join(f"{n} long" for n in COUNTS.names)
+    schema = StructType([StructField("row", docs.schema), StructField("lang", StringType()), StructField("source", StringType()), *(StructField(n, LongType()) for n in COUNTS.names)])
     counted = rows.mapInArrow(_count, schema).where(~base_failed())
     met = counted.alias("d").join(fences.alias("f"), F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
     return met.where(F.coalesce(inside(), F.lit(True))).select("d.row.*")
