@@ -140,8 +140,9 @@ def _joined(rid: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 def _marks(rid: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     rid, start, n = _joined(rid, start, n)
-    none = np.zeros(len(rid), np.int64)
-    return _row_batch(none, none, rid, start, n, True)
+    # marks go with the pieces through the next shuffle; a hash of the document in the anchor's place spreads them
+    spread = rid.astype(np.int64) * np.int64(0x1E3779B97F4A7C15)
+    return _row_batch(spread, spread, rid, start, n, True)
 
 
 def _firsts(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -192,7 +193,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows in the order of anchor, piece, rid, start: marks for all but the first of equal pieces, and the first ones
     where an anchor has more than one, or is twice in one. CROWD rows of an anchor at most are held; beyond, it is a crowd
-    and its rows pass."""
+    and its rows pass. Marks that were made before pass too."""
     names = ("anchor", "piece", "rid", "start", "n", "crowd")
     held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, bool)]  # firsts of the last anchor
     last, crowd = None, None  # anchor and piece of the last row; the last anchor, if it is a crowd
@@ -206,7 +207,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _row_batch(*(x[take] for x in c[:5]), False, many)
 
     for b in batches:
-        c = [b.column(k).to_numpy(zero_copy_only=False) for k in names]
+        mark = b.column("mark").to_numpy(zero_copy_only=False)
+        if mark.any():
+            yield b.filter(pa.array(mark))
+        c = [b.column(k).to_numpy(zero_copy_only=False)[~mark] for k in names]
         if not len(c[0]):
             continue
         first = np.append(last != (c[0][0], c[1][0]), (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]))
@@ -484,13 +488,13 @@ def repeats_removed(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the bytes that stay, for each row of docs."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = numbered(docs)
-    found = staged(rows.select("rid", "text").mapInArrow(_find, ROW_DDL), "repeats-found")
-    met = found.where("not mark").drop("mark").repartition(parts, "anchor").sortWithinPartitions("anchor", "piece", "rid", "start")
+    found = rows.select("rid", "text").mapInArrow(_find, ROW_DDL)
+    met = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "piece", "rid", "start")
     met = staged(met.mapInArrow(_meet, ROW_DDL), "repeats-met")
     wanted = met.where("not mark").groupBy("rid").agg(F.collect_list(F.struct("anchor", "start", "n", "crowd")).alias("wanted"))  # bounded by the document's length
     cut = rows.select("rid", "text").join(wanted, "rid").mapInArrow(_cut, CUT_DDL)
     same = staged(cut.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_transform, ROW_DDL), "repeats-same")
-    marks = found.where("mark").select("rid", "start", "n").union(met.where("mark").select("rid", "start", "n")).union(same.select("rid", "start", "n"))
+    marks = met.where("mark").select("rid", "start", "n").union(same.select("rid", "start", "n"))
     marks = marks.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     return rows.join(marks, "rid", "left").mapInArrow(_keep(with_bytes), KEPT_DDL)
 
