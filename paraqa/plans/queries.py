@@ -116,7 +116,7 @@ def text_key(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.key(F.col("text")).alias("k"))
 
 
-@query("job_signature")
+@query("job_signature", """SELECT doc_id, sha256('{"c0":' || doc_id || ',"c1":"' || lang || '","c2":"' || source || '","c3":"full"}') AS signature FROM documents""")
 def job_signature(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", resume.signature(F.col("doc_id"), F.col("lang"), F.col("source"), F.lit("full")).alias("signature"))
 
@@ -126,7 +126,7 @@ def clean_json(spark, sf_dir):
     return X.sql(spark, X.REPLIES).select("batch", prompts.clean_json(F.col("reply")).alias("reply"))
 
 
-@query("prompt_section")
+@query("prompt_section", "SELECT 1 AS id, '| Source Term | Target Term |' || chr(10) || '|---|---|' || chr(10) || '| cell | 细胞 |' || chr(10) || '| DNA | DNA |' AS glossary, 'Title: A' AS context, NULL AS single UNION ALL SELECT 2, '', '', 'Hello there' UNION ALL SELECT 3, '', '', NULL")
 def prompt_section(spark, sf_dir):
     p = F.col("prompt")
     return X.sql(spark, X.PROMPTS).select("id", prompts.section(p, "Glossary Tables").alias("glossary"), prompts.section(p, "Contextual Hints for Better Translation").alias("context"), prompts.tail(p).alias("single"))
