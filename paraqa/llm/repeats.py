@@ -46,7 +46,7 @@ MOST_WINDOWS = SPREAD
 BESIDE = SPREAD // 2
 #: Bytes of text that a task looks at together (few enough for a core's cache), pieces it compares before it puts them out,
 #: and bytes of a slab.
-AT_ONCE, PIECES, SLAB = 1 << 18, 1 << 20, 1 << 20
+AT_ONCE, PIECES, SLAB = 1 << 18, 1 << 20, 1 << 19
 #: An anchor with more different pieces is dealt out with its neighbours' bytes.
 CROWD = 2000
 
@@ -326,12 +326,11 @@ class Rounds:
         self.turns[0].seek(0)
         return np.fromfile(self.turns[0], self.symbol, self.n), np.fromfile(self.turns[0], np.uint8, self.n)
 
-    def _column(self, j: int) -> np.ndarray:
-        """Symbols before the suffixes of j bytes; 0 for pieces that have no more, over pieces of at least j bytes."""
-        long = self.sizes[self.sizes >= j]
-        out = np.zeros(len(long), self.symbol)
+    def _symbols(self, j: int) -> np.ndarray:
+        """Of each piece, the symbol before its suffix of j bytes; 0 if it has no more."""
+        out = np.zeros(self.m, self.symbol)
         if j < len(self.columns):
-            out[long > j] = np.fromfile(self.file, self.symbol, self.columns[j])
+            out[self.sizes > j] = np.fromfile(self.file, self.symbol, self.columns[j])
         return out
 
     @staticmethod
@@ -344,21 +343,21 @@ class Rounds:
 
     def build(self) -> tuple[np.ndarray, np.ndarray]:
         """Runs all rounds: the last transform and prefixes."""
-        self._write(self._column(0), np.zeros(self.m, np.uint8))
-        newest = np.arange(self.m)  # the place of each piece's longest suffix, over pieces of at least j bytes
+        self._write(self._symbols(0), np.zeros(self.m, np.uint8))
+        who, at = np.arange(self.m), np.arange(self.m)  # pieces in the order of their longest suffixes, and the places of these
         for j in range(len(self.columns)):
             bwt, lcp = self._read()
             order, rank, none = self._steps(bwt)
-            grows = self.sizes[self.sizes >= j] > j
-            at = newest[grows]  # each of these suffixes gets its byte in front
-            r = rank[at]
-            place = self.m + r - none
-            symbol = bwt[at]
+            grows = self.sizes[who] > j  # each of these suffixes gets its byte in front
+            who, at = who[grows], at[grows]
+            r, symbol = rank[at], bwt[at]
             # with the suffix before and after among those of the same byte
             before, after = np.maximum(r - 1, 0), np.minimum(r + 1, len(bwt) - 1)
             has_before, has_after = (r > none) & (bwt[order[before]] == symbol), (r + 1 < len(bwt)) & (bwt[order[after]] == symbol)
             low = np.where(has_before, 1 + self._least(lcp, order[before] + 1, at + 1, has_before), 0)
             high = np.where(has_after, 1 + self._least(lcp, at + 1, order[after] + 1, has_after), 0)
+            turn = np.argsort(symbol, kind="stable")  # places go up by symbol, then as before
+            who, place, low, high = who[turn], (self.m + r - none)[turn], low[turn], high[turn]
             total = len(bwt) + len(at)
             old = np.ones(total, bool)
             old[place] = False
@@ -367,22 +366,20 @@ class Rounds:
             follows = place + 1 < total
             new_lcp[place[follows] + 1] = high[follows]
             new_lcp[place] = low
-            new_bwt[place] = self._column(j + 1)
-            newest = place
+            new_bwt[place] = self._symbols(j + 1)[who]
+            at = place
             self._write(new_bwt, new_lcp)
         return self._read()
 
     @staticmethod
     def _least(lcp: np.ndarray, start: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The least prefix in each range that is wanted."""
+        """The least prefix in each range that is wanted; ranges go up, so what lies between them is passed over once."""
         out = np.zeros(len(start), np.int64)
         k = np.flatnonzero(wanted)
         if len(k):
-            k = k[np.argsort(start[k], kind="stable")]
             pairs = np.empty(2 * len(k), np.int64)
             pairs[0::2], pairs[1::2] = start[k], end[k]
-            padded = np.append(lcp, np.uint8(0))
-            out[k] = np.minimum.reduceat(padded, pairs)[0::2]
+            out[k] = np.minimum.reduceat(np.append(lcp, np.uint8(0)), pairs)[0::2]
         return out
 
     def equal_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
