@@ -13,27 +13,42 @@ SHORT, LONG, MEASURED, PROSE, NAMED = 0.18, 1.3, 40, 4, 3
 
 
 def check(source: Column, output: Column, keep: Column | None = None) -> Column:
-    """ARRAY<STRING> of issues; null texts are empty. keep: lower-case terms that may stay English."""
-    src, out = T.strip(F.coalesce(source, F.lit(""))), T.strip(F.coalesce(output, F.lit("")))
+    """ARRAY<STRING> of issues; null texts are empty. keep: lower-case terms that may stay English.
+
+    Each text is stripped, freed of placeholders and searched once, see text.let.
+    """
     keep = F.array().cast("array<string>") if keep is None else keep
-    bare = T.plain(src)
-    prose = T.count_matches(bare, T.ENGLISH_WORD) >= PROSE
-    missing = T.surplus(T.numbers(src), T.numbers(out))
-    left = F.filter(T.english_runs(out, PROSE), lambda r: F.contains(F.lower(src), F.lower(r)) & ~F.array_contains(keep, F.lower(r)))
-    cjk = T.count_matches(out, T.CJK)
-    long_enough = F.length(T.without_space(bare)) >= MEASURED
-    ratio = F.length(T.without_space(T.plain(out))) / F.greatest(F.length(T.without_space(bare)), F.lit(1))
-    rules = F.array_compact(
-        F.array(
-            F.when(F.array_sort(T.placeholders(src)) != F.array_sort(T.placeholders(out)), F.lit("markup")),
-            F.when(F.size(missing) > 0, F.concat(F.lit("numbers:"), F.array_join(missing, "|"))),
-            F.when(prose & (F.size(left) > 0), F.concat(F.lit("leftover:"), F.array_join(F.slice(left, 1, NAMED), "|"))),
-            F.when(prose & (cjk == 0), F.lit("no_cjk")),
-            F.when(prose & (cjk > 0) & long_enough & (ratio < SHORT), F.lit("short")),
-            F.when(prose & (cjk > 0) & long_enough & (ratio > LONG), F.lit("long")),
-        )
+    text = lambda c: T.strip(F.coalesce(c, F.lit("")))
+    texts = F.struct(text(source).alias("src"), text(output).alias("out"), keep.alias("keep"))
+    return T.let(texts, lambda t: F.when(F.length(t.out) == 0, F.array(F.lit("empty"))).otherwise(_rules(t.src, t.out, t.keep)))
+
+
+def _rules(src: Column, out: Column, keep: Column) -> Column:
+    """Issues of an output that isn't empty."""
+    bare = F.struct(T.plain(src).alias("src"), T.plain(out).alias("out"))
+    return T.let(bare, lambda b: F.array_compact(F.concat(F.array(_markup(src, out), _numbers(b)), _of_prose(src, out, b, keep))))
+
+
+def _markup(src: Column, out: Column) -> Column:
+    return F.when(F.sort_array(T.placeholders(src)) != F.sort_array(T.placeholders(out)), F.lit("markup"))
+
+
+def _numbers(bare: Column) -> Column:
+    return T.let(T.surplus(T.numbers_in(bare.src), T.numbers_in(bare.out)), lambda m: F.when(F.size(m) > 0, F.concat(F.lit("numbers:"), F.array_join(m, "|"))))
+
+
+def _of_prose(src: Column, out: Column, bare: Column, keep: Column) -> Column:
+    """The rules that hold for sources of some English words."""
+    long_enough = lambda m: m.src >= MEASURED
+    ratio = lambda m: m.out / F.greatest(m.src, F.lit(1))
+    measures = F.struct(T.count_matches(out, T.CJK).alias("cjk"), F.length(T.without_space(bare.src)).alias("src"), F.length(T.without_space(bare.out)).alias("out"))
+    length = T.let(
+        measures,
+        lambda m: F.when(m.cjk == 0, F.lit("no_cjk")).when(long_enough(m) & (ratio(m) < SHORT), F.lit("short")).when(long_enough(m) & (ratio(m) > LONG), F.lit("long")),
     )
-    return F.when(F.length(out) == 0, F.array(F.lit("empty"))).otherwise(rules)
+    left = T.let(F.lower(src), lambda low: F.filter(T.english_runs_in(bare.out, PROSE), lambda r: F.contains(low, F.lower(r)) & ~F.array_contains(keep, F.lower(r))))
+    leftover = T.let(left, lambda rs: F.when(F.size(rs) > 0, F.concat(F.lit("leftover:"), F.array_join(F.slice(rs, 1, NAMED), "|"))))
+    return F.when(T.count_matches(bare.src, T.ENGLISH_WORD) >= PROSE, F.array(leftover, length)).otherwise(F.array().cast("array<string>"))
 
 
 def ok(issues: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,15 @@ BATCH_MARKER = "## Here is the input:"
 SINGLE_MARKER = "Now translate the following text:"
 GLOSSARY_HEADER = "Source Term"
 
-#: Java's \s without (?U) is ASCII only.
+#: Java's \s without (?U) is ASCII only. WHITE: the characters of (?U)\s.
 SPACE = r"(?U)\s+"
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row. A column that is used in several places, or inside a lambda, is
+    computed in each of them, and for each element there; a lambda's variable is not."""
+    return F.transform(F.array(value), body)[0]
 
 
 def every(text: Column, pattern: str) -> Column:
@@ -23,7 +32,8 @@ def every(text: Column, pattern: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Looks at the ends only; a pattern would try every place."""
+    return F.trim(text, F.lit(WHITE))
 
 
 def without_space(text: Column) -> Column:
@@ -46,14 +56,24 @@ def plain(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """Numbers outside placeholders; a comma before exactly three digits is a separator and goes."""
-    return F.transform(every(plain(text), NUMBER), lambda n: F.regexp_replace(n, r",(?=\d{3}\b)", ""))
+    return numbers_in(plain(text))
+
+
+def numbers_in(bare: Column) -> Column:
+    """Of a text without placeholders."""
+    return F.transform(every(bare, NUMBER), lambda n: F.regexp_replace(n, r",(?=\d{3}\b)", ""))
 
 
 def english_runs(text: Column, least: int = 4) -> Column:
     """Runs of at least so many English words. Possessive: the words are joined by what can't be in a word, so giving back
     never helps, and long runs need no stack."""
+    return english_runs_in(plain(text), least)
+
+
+def english_runs_in(bare: Column, least: int = 4) -> Column:
+    """Of a text without placeholders."""
     word = r"[A-Za-z][A-Za-z'’-]*+"
-    return F.transform(every(plain(text), rf"{word}(?:[\s,;:]++{word}){{{least - 1},}}+"), strip)
+    return F.transform(every(bare, rf"{word}(?:[\s,;:]++{word}){{{least - 1},}}+"), strip)
 
 
 def count_matches(text: Column, pattern: str) -> Column:
@@ -71,8 +91,18 @@ def key(text: Column) -> Column:
 
 
 def surplus(a: Column, b: Column) -> Column:
-    """Tokens that a has more often than b, each once, sorted. array_except would forget how often."""
-    return F.array_sort(F.filter(F.array_distinct(a), lambda x: F.size(F.filter(a, lambda y: y == x)) > F.size(F.filter(b, lambda y: y == x))))
+    """Tokens that a has more often than b, each once, sorted. array_except would forget how often.
+
+    One pass over the sorted tokens of both, b's first: a token is in surplus when its balance gets to one.
+    """
+    signed = lambda c, sign: F.transform(c, lambda x: F.struct(x.alias("t"), F.lit(sign).alias("n")))
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        balance = F.when(s.t.eqNullSafe(x.t), s.n).otherwise(F.lit(0)) + x.n
+        return F.struct(x.t.alias("t"), balance.alias("n"), F.when(balance == 1, F.concat(s.found, F.array(x.t))).otherwise(s.found).alias("found"))
+
+    return F.aggregate(F.sort_array(F.concat(signed(a, 1), signed(b, -1))), start, step, lambda s: s.found)
 
 
 def pseudo_translation(text: Column) -> Column:

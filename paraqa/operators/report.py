@@ -16,27 +16,36 @@ PROBE, LEAST_PROBE, BLOCK_WORDS, BLOCK_RUN, BLOCK_CJK, SAME, NO_PAGE = 12, 4, 12
 BLOCK = 256
 
 
+def _grams(texts: DataFrame, least: int, most: int) -> DataFrame:
+    """page, gram: what stands at each place, up to `most` characters, from `least` on. Pages are cut into blocks that overlap
+    first, so that one row never holds all strings of a long page."""
+    blocks = F.regexp_extract_all("s", F.lit(rf"(?s)(?=(.{{1,{BLOCK + most - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    cut = texts.where(F.length("s") >= least).select("page", F.explode(blocks).alias("b"))
+    return cut.select("page", F.explode(F.regexp_extract_all("b", F.lit(rf"(?s)(?=(.{{{least},{most}}}))."), F.lit(1))).alias("gram"))
+
+
+def _lowest(grams: DataFrame, probes: DataFrame) -> DataFrame:
+    """gram, page: the first page that has it, of those that are probes. Combined where pages are read, so a string that stands
+    on many pages and in many items makes one row."""
+    return grams.join(probes.select(F.col("probe").alias("gram")).distinct(), "gram", "left_semi").groupBy("gram").agg(F.min("page").alias("page"))
+
+
 def find_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
     """item, page: the lowest page with the item's first probe, else with its second. items: item, text. pages: page, text.
 
-    Probes are 12 characters at the start and from the middle. Full probes meet the pages' 12-character strings in an
-    equi-join, so the work grows with the pages' text and not with pages times items; shorter probes (labels of 4 to 11
-    characters) meet strings of 4, and are then looked up in the page.
+    Probes are 12 characters at the start and from the middle. A probe's page doesn't depend on the item, so the pages' strings
+    meet the distinct probes in equi-joins, and the work grows with the pages' text, not with pages times items. Shorter
+    probes (labels of 4 to 11 characters) meet strings that share four characters with one of them first.
     """
     squashed = items.select("item", T.squash(F.col("text")).alias("s"))
     probes = squashed.select("item", F.posexplode(F.array(F.substring("s", 1, PROBE), F.expr(f"substring(s, length(s) div 2 + 1, {PROBE})"))).alias("n", "probe")).where(F.length("probe") >= LEAST_PROBE)
     texts = pages.select("page", T.squash(F.col("text")).alias("s"))
-
-    def grams(size: int) -> DataFrame:
-        """page, gram: cut in blocks first, so that no character of a long page is passed over more than BLOCK times."""
-        blocks = F.transform(F.sequence(F.lit(0), F.expr(f"(length(s) - 1) div {BLOCK}")), lambda b: F.substring("s", b * BLOCK + 1, F.lit(BLOCK + size - 1)))
-        cut = texts.where(F.length("s") >= size).select("page", F.explode(blocks).alias("b")).where(F.length("b") >= size)
-        return cut.select("page", F.explode(F.transform(F.sequence(F.lit(1), F.length("b") - size + 1), lambda i: F.substring("b", i, F.lit(size)))).alias("gram")).distinct()
-
-    full = probes.where(F.length("probe") == PROBE).join(grams(PROBE), F.col("probe") == F.col("gram")).select("item", "n", "page")
-    some = probes.where(F.length("probe") < PROBE).join(grams(LEAST_PROBE), F.substring("probe", 1, LEAST_PROBE) == F.col("gram")).select("item", "n", "probe", "page")
-    short = some.join(texts, "page").where(F.contains("s", "probe")).select("item", "n", "page")
-    return full.union(short).groupBy("item").agg(F.min_by("page", F.struct("n", "page")).alias("page"))
+    full, short = probes.where(F.length("probe") == PROBE), probes.where(F.length("probe") < PROBE)
+    heads = short.select(F.substring("probe", 1, LEAST_PROBE).alias("head")).distinct()
+    near = _grams(texts, LEAST_PROBE, PROBE - 1).withColumn("head", F.substring("gram", 1, LEAST_PROBE)).join(heads, "head", "left_semi")
+    sizes = F.transform(F.sequence(F.lit(LEAST_PROBE), F.length("gram")), lambda n: F.substring("gram", F.lit(1), n))
+    found = _lowest(_grams(texts, PROBE, PROBE), full).union(_lowest(near.select("page", F.explode(sizes).alias("gram")), short))
+    return probes.join(found, F.col("probe") == F.col("gram")).groupBy("item").agg(F.min_by("page", F.struct("n", "page")).alias("page"))
 
 
 def is_english(text: Column) -> Column:
