@@ -41,7 +41,7 @@ def _of_prose(src: Column, out: Column, bare: Column, keep: Column) -> Column:
     """The rules that hold for sources of some English words."""
     long_enough = lambda m: m.src >= MEASURED
     ratio = lambda m: m.out / F.greatest(m.src, F.lit(1))
-    measures = F.struct(T.count_matches(out, T.CJK).alias("cjk"), F.length(T.without_space(bare.src)).alias("src"), F.length(T.without_space(bare.out)).alias("out"))
+    measures = F.struct(T.count_cjk(out).alias("cjk"), F.length(T.without_space(bare.src)).alias("src"), F.length(T.without_space(bare.out)).alias("out"))
     length = T.let(
         measures,
         lambda m: F.when(m.cjk == 0, F.lit("no_cjk")).when(long_enough(m) & (ratio(m) < SHORT), F.lit("short")).when(long_enough(m) & (ratio(m) > LONG), F.lit("long")),

@@ -41,6 +41,17 @@ def items(rows: DataFrame, by: str, reply: str) -> DataFrame:
     return spark.sql(f"SELECT {by}, e.pos AS seq, e.value AS item FROM paraqa_replies, LATERAL variant_explode(v) AS e WHERE schema_of_variant(e.value) LIKE 'OBJECT%' AND try_variant_get(e.value, '$.id', 'int') IS NOT NULL")
 
 
+def batch_prompt(rows: DataFrame, by: str, prompt: str) -> DataFrame:
+    """by, id, input: the rows of a batch prompt, after its marker. A prompt without the marker, or whose rest isn't a list of
+    objects that all have an id, gives none; the last of equal ids counts."""
+    read = rows.select(by, F.try_parse_json(tail(F.col(prompt), T.BATCH_MARKER)).alias("v")).where("schema_of_variant(v) LIKE 'ARRAY%'")
+    parts = read.select(by, F.expr("CAST(v AS array<variant>)").alias("parts"))
+    good = F.expr("forall(parts, x -> coalesce(schema_of_variant(x) LIKE 'OBJECT%' AND try_variant_get(x, '$.id', 'int') IS NOT NULL, false))")
+    rowed = parts.where(good).select(by, F.posexplode("parts").alias("seq", "item"))
+    got = rowed.select(by, "seq", F.expr("try_variant_get(item, '$.id', 'int')").alias("id"), F.expr("try_variant_get(item, '$.input', 'string')").alias("input"))
+    return got.groupBy(by, "id").agg(F.max_by("input", "seq").alias("input"))
+
+
 def batch_output(rows: DataFrame, by: str, reply: str) -> DataFrame:
     """by, id, output: `input` stands in only where the key `output` is absent; values that aren't strings are skipped; the last
     of equal ids counts."""

@@ -44,14 +44,20 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, " ")
 
 
+def _marked(text: Column) -> Column:
+    """Whether there can be a placeholder; a search for characters, so most texts never meet the pattern."""
+    return F.contains(text, F.lit("{")) | F.contains(text, F.lit("<"))
+
+
 def placeholders(text: Column) -> Column:
     """All placeholders, duplicates kept, without inner space."""
-    return F.transform(every(text, PLACEHOLDER), lambda p: F.regexp_replace(p, r"\s+", ""))
+    found = F.transform(every(text, PLACEHOLDER), lambda p: F.regexp_replace(p, r"\s+", ""))
+    return F.when(~_marked(text), F.array().cast("array<string>")).otherwise(found)
 
 
 def plain(text: Column) -> Column:
     """Placeholders become one space each."""
-    return F.regexp_replace(text, PLACEHOLDER, " ")
+    return F.when(_marked(text), F.regexp_replace(text, PLACEHOLDER, " ")).otherwise(text)
 
 
 def numbers(text: Column) -> Column:
@@ -76,13 +82,19 @@ def english_runs_in(bare: Column, least: int = 4) -> Column:
     return F.transform(every(bare, rf"{word}(?:[\s,;:]++{word}){{{least - 1},}}+"), strip)
 
 
+def count_cjk(text: Column) -> Column:
+    """CJK characters; runs of them are taken out at once instead of listing each."""
+    return F.length(text) - F.length(F.regexp_replace(text, CJK + "+", ""))
+
+
 def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
 def squash(text: Column) -> Column:
     """Without placeholders, tags and white space: what texts are compared by."""
-    return without_space(F.regexp_replace(F.regexp_replace(text, PLACEHOLDER, ""), r"<[^>]+>", ""))
+    tagless = F.regexp_replace(F.regexp_replace(text, PLACEHOLDER, ""), r"<[^>]+>", "")
+    return without_space(F.when(_marked(text), tagless).otherwise(text))
 
 
 def key(text: Column) -> Column:

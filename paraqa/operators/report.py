@@ -49,7 +49,7 @@ def find_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def is_english(text: Column) -> Column:
-    return (T.count_matches(text, T.ENGLISH_WORD) >= BLOCK_WORDS) & (T.count_matches(text, T.CJK) < BLOCK_CJK * F.length(text)) & (F.size(T.english_runs(text, BLOCK_RUN)) > 0)
+    return (T.count_matches(text, T.ENGLISH_WORD) >= BLOCK_WORDS) & (T.count_cjk(text) < BLOCK_CJK * F.length(text)) & (F.size(T.english_runs(text, BLOCK_RUN)) > 0)
 
 
 def english_blocks(blocks: DataFrame) -> DataFrame:

@@ -42,3 +42,8 @@ def compare(originals: DataFrame, found: DataFrame, running: DataFrame) -> DataF
 def original_page(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """label, serial, place, page: the first original page of a page in a translated part."""
     return wanted.join(index.groupBy("label", "serial", "place").agg(F.min("page").alias("page")), ["label", "serial", "place"])
+
+
+def pending(wanted: DataFrame, done: DataFrame, *by: str) -> DataFrame:
+    """Wanted pages that aren't done, each once."""
+    return wanted.select(*by).distinct().join(done.select(*by), list(by), "left_anti")

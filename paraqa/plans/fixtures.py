@@ -24,6 +24,11 @@ Title: A
 ## Here is the input:
 []'), (2, 'Now translate the following text:  Hello there '), (3, 'no marker')) AS p(id, prompt)"""
 
+BATCH_PROMPTS = """SELECT * FROM (VALUES (1, 'Rules
+## Here is the input:
+[{"id": 0, "input": "a {v1}", "layout_label": "text"}, {"id": 1, "input": "b"}, {"id": 1, "input": "c"}]'), (2, 'no marker [{"id": 0, "input": "a"}]'), (3, '## Here is the input: [{"id": 0, "input": "a"}, {"input": "b"}]'), (4, '## Here is the input: {"id": 0, "input": "a"}'), (5, '## Here is the input: not json'), (6, NULL), (7, '## Here is the input: [1]')) AS p(batch, prompt)"""
+PROGRESS = """SELECT * FROM (VALUES (1, '翻译（3/20），预计 5 分钟', 12.5, 20, 10, 50.0, 4, 8), (2, '排版', 2.0, 1, 10, 100.0, 0, 1), (3, '解析（1/2）', 0.0, 5, 3, 0.0, 7, 8)) AS g(id, line, pace, remaining, batch, percent, done, total)"""
+
 
 def sql(spark: SparkSession, query: str) -> DataFrame:
     return spark.sql(query)

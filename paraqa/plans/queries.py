@@ -103,7 +103,7 @@ def english_runs(spark, sf_dir):
 
 @query("cjk_ratio", f"WITH {X.PAIRS} SELECT doc_id, {CJK.format('draft')} AS cjk, {TIGHT.format('draft')} AS chars FROM pairs")
 def cjk_ratio(spark, sf_dir):
-    return X.pairs(spark, sf_dir).select("doc_id", T.count_matches(F.col("draft"), T.CJK).cast("long").alias("cjk"), F.length(T.without_space(T.plain(F.col("draft")))).cast("long").alias("chars"))
+    return X.pairs(spark, sf_dir).select("doc_id", T.count_cjk(F.col("draft")).cast("long").alias("cjk"), F.length(T.without_space(T.plain(F.col("draft")))).cast("long").alias("chars"))
 
 
 @query("squash", f"SELECT page_id, {SQUASH.format('html')} AS squashed FROM pages")
@@ -138,6 +138,25 @@ def glossary_targets(spark, sf_dir):
     return X.sql(spark, X.PROMPTS).select("id", F.array_join(F.array_sort(targets), ",").alias("terms"))
 
 
+@query("parse_batch_prompt", "SELECT * FROM (VALUES (1, 0, 'a {v1}'), (1, 1, 'c')) AS t(batch, id, input)")
+def parse_batch_prompt(spark, sf_dir):
+    return prompts.batch_prompt(X.sql(spark, X.BATCH_PROMPTS), "batch", "prompt")
+
+
+@query("review_prompt", """SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN '## Context' || chr(10) || 'c' || conv_id || chr(10) || chr(10) ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN '## Glossary' || chr(10) || 'g' || chr(10) || chr(10) ELSE '' END || '## Rows' || chr(10) || '[' || string_agg('{"id":' || turn || ',"output":"' || role || '"}', ',' ORDER BY turn) || ']' AS prompt FROM conversations GROUP BY conv_id""")
+def review_prompt(spark, sf_dir):
+    replies = prompts.dump_output(_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("role").alias("output")), "conv_id")
+    c = F.col("conv_id")
+    return replies.select("conv_id", prompts.review_prompt(F.col("reply"), F.when(c % 3 == 0, "g"), F.when(c % 2 == 0, F.concat(F.lit("c"), c))).alias("prompt"))
+
+
+@query("progress", """SELECT 1 AS id, '翻译' AS line, 12.5 * 15 / 60 AS eta, 56.25::DOUBLE AS overall UNION ALL SELECT 2, '排版', 0.0, 100.0 UNION ALL SELECT 3, '解析', 0.0, 87.5""")
+def progress(spark, sf_dir):
+    number = lambda c: F.col(c).cast("double")
+    eta = T.eta_minutes(number("pace"), number("remaining"), number("batch"), number("percent"))
+    return X.sql(spark, X.PROGRESS).select("id", T.progress_text(F.col("line")).alias("line"), eta.alias("eta"), T.overall_progress(number("done"), number("percent"), number("total")).alias("overall"))
+
+
 @query("parse_batch_output", "SELECT * FROM (VALUES (1, 1, 'a'), (1, 2, 'c'), (2, 5, 'kept'), (5, 9, 'x')) AS t(batch, id, output)")
 def parse_batch_output(spark, sf_dir):
     return prompts.batch_output(X.sql(spark, X.REPLIES), "batch", "reply")
@@ -172,6 +191,13 @@ def split_text(spark, sf_dir):
     return pieces.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("pieces"))
 
 
+@query("join_pieces", "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS tight, md5(string_agg(text, ' ' ORDER BY turn)) AS spaced FROM conversations GROUP BY conv_id")
+def join_pieces(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    pieces = F.transform("t", lambda x: x.text)
+    return turns.select("conv_id", F.md5(chunks.join_pieces(pieces)).alias("tight"), F.md5(chunks.join_pieces(pieces, spaced=True)).alias("spaced"))
+
+
 # --- checks
 
 
@@ -401,6 +427,23 @@ def glossary_merge(spark, sf_dir):
     return glossary.merge(X.sql(spark, X.GLOSSARY))
 
 
+@query("glossary_keep_terms", f"SELECT array_to_string(list_sort(list_distinct(list(lower(target)))), ',') AS keep FROM (SELECT arg_min(trim(target), (file_no, row_no)) AS target FROM ({X.GLOSSARY}) WHERE trim(target) <> '' GROUP BY trim(source))")
+def glossary_keep_terms(spark, sf_dir):
+    return glossary.keep_terms(glossary.merge(X.sql(spark, X.GLOSSARY))).select(_joined("keep").alias("keep"))
+
+
+@query("prior_results", "SELECT CASE WHEN lang = 'fr' THEN 2 WHEN lang = 'de' THEN 0 ELSE 1 END AS label_no, lang AS label, doc_id FROM documents WHERE lang IN ('de', 'en', 'fr')")
+def prior_results(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return tables.labelled_union({x: docs.where(F.col("lang") == x).drop("lang") for x in ("fr", "en", "de")}, "fr").select("label_no", "label", "doc_id")
+
+
+@query("pending_pages", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 5 = 0")
+def pending_pages(spark, sf_dir):
+    ids = _table(spark, sf_dir, "documents").select("doc_id")
+    return viewer.pending(ids.where("doc_id % 3 <> 0"), ids.where("doc_id % 5 = 0"), "doc_id")
+
+
 @query("ordered_concat", "SELECT part, doc_id, lang FROM (SELECT 0 AS part, * FROM documents WHERE lang = 'en' UNION ALL SELECT 1, * FROM documents WHERE lang = 'fr' UNION ALL SELECT 2, * FROM documents WHERE lang = 'de') ORDER BY 1, 2")
 def ordered_concat(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -468,6 +511,18 @@ def toc_lines(spark, sf_dir):
     return layout.marks(layout.printed_lines(_toc(spark, sf_dir))).select("line", F.col("lead_x").isNotNull().alias("has_lead"), "trail")
 
 
+@query("line_sizes", "SELECT doc_id AS line, 10.0::DOUBLE AS size FROM documents WHERE lang = 'en'")
+def line_sizes(spark, sf_dir):
+    return layout.font_sizes(_toc(spark, sf_dir))
+
+
+@query("marked_blocks", """WITH l AS (SELECT doc_id // 40 AS block, doc_id % 3 <> 0 OR doc_id % 2 = 0 AS marked FROM documents WHERE lang = 'en')
+SELECT block::VARCHAR AS block, n, marked, (marked >= 3 AND marked >= 0.4 * n) OR marked >= n AS is_list FROM (SELECT block, count(*) AS n, count(*) FILTER (marked) AS marked FROM l GROUP BY block)""")
+def marked_blocks(spark, sf_dir):
+    lines = layout.marks(layout.printed_lines(_toc(spark, sf_dir)))
+    return layout.is_list(lines.select(F.floor(F.col("line") / 40).cast("string").alias("block"), "lead_x", "trail"))
+
+
 @query("toc_groups")
 def toc_groups(spark, sf_dir):
     lines = layout.marks(layout.printed_lines(_toc(spark, sf_dir)))
