@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is layer 0. A layer is scanned, then searched for encoded passages: runs with percent escapes, runs with
-Unicode or hex escapes, base64 runs, and compressed bytes in what base64 gives. Each decoded passage is a new layer on the
-worklist, with the place in the text of every one of its characters; a layer that this document has had already is not
+Each text is layer 0. A layer is scanned, then decoded: the whole layer with its percent escapes, and with its Unicode or hex
+escapes, undone in place, so what crosses a blank or a line stays together; base64 runs, also those wrapped over single line
+breaks; and compressed bytes in what base64 gives. Each decoded text is a new layer on the worklist, with the place in the text of every one of its characters; a layer that this document has had already is not
 entered again, which ends cycles. The worklist is empty at the fixpoint. A finding in a layer covers the span of the text
 from which its characters come; a passage that was compressed can only be mapped as a whole.
 
@@ -14,13 +14,12 @@ from __future__ import annotations
 
 import base64
 import binascii
-import gzip
 import hashlib
-import io
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +31,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 
-#: Encoded passages: words of printable ASCII with an escape, and runs of 16 base64 characters at least.
-RUN = re.compile(r"[!-~]+")
-PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+#: Encoded passages: escapes, and runs of 16 base64 characters at least, in one line or over line breaks.
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"\\(?:u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]{1,6})\}|x([0-9a-fA-F]{2}))")
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
 PART = re.compile(r"[A-Za-z0-9]{16,}")
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 UNPRINTABLE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 HIGH, LOW, PAST = 0xD800, 0xDC00, 0xE000  # surrogates
 #: A compressed passage is inflated up to so many bytes; this bounds a task's memory against bombs, which are far larger
@@ -61,134 +60,177 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text; character k comes from the characters at[k] to to[k] of the document."""
+    """A decoded text; character k comes from the characters at[k] to to[k] of the document. Layer 0 is the document: no arrays."""
 
     __slots__ = ("at", "depth", "text", "to")
 
-    def __init__(self, text: str, at, to, depth: int):
+    def __init__(self, text: str, at: np.ndarray | None, to: np.ndarray | None, depth: int):
         self.text, self.at, self.to, self.depth = text, at, to, depth
 
+    def first(self, places: np.ndarray) -> np.ndarray:
+        return places if self.at is None else self.at[places]
 
-Found = tuple[str, list[int], list[int]]
+    def last(self, places: np.ndarray) -> np.ndarray:
+        return places + 1 if self.to is None else self.to[places]
 
 
-def _utf8(data: bytes, at: list[int], to: list[int]) -> Found | None:
-    """Text of the bytes, with the place of each character from those of its bytes; None if it isn't printable text."""
+Found = tuple[str, np.ndarray, np.ndarray]
+
+
+def _utf8(data: bytes) -> tuple[str, np.ndarray] | None:
+    """Text of the bytes, and where in them each character begins and the last one ends; None if it isn't printable text."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
     if not text or UNPRINTABLE.search(text):
         return None
-    if len(text) == len(data):
-        return text, at, to
-    starts, k = [], 0
-    for c in text:
-        starts.append(k)
-        k += len(c.encode("utf-8"))
-    starts.append(k)
-    return text, [at[k] for k in starts[:-1]], [to[k - 1] for k in starts[1:]]
-
-
-def _percent(layer: Layer, run: re.Match) -> Found | None:
-    data, at, to, k = bytearray(), [], [], run.start()
-
-    def plain(end: int) -> None:
-        data.extend(layer.text[k:end].encode())  # a run is ASCII
-        at.extend(layer.at[k:end])
-        to.extend(layer.to[k:end])
-
-    for m in PERCENT.finditer(layer.text, run.start(), run.end()):
-        plain(m.start())
-        data.append(int(m[1], 16))
-        at.append(layer.at[m.start()])
-        to.append(layer.to[m.end() - 1])
-        k = m.end()
-    if k == run.start():
-        return None
-    plain(run.end())
-    return _utf8(bytes(data), at, to)
-
-
-def _escapes(layer: Layer, run: re.Match) -> Found | None:
-    codes, at, to, k = [], [], [], run.start()
-
-    def plain(end: int) -> None:
-        codes.extend(map(ord, layer.text[k:end]))
-        at.extend(layer.at[k:end])
-        to.extend(layer.to[k:end])
-
-    for m in ESCAPES.finditer(layer.text, run.start(), run.end()):
-        code = int(m[1] or m[2] or m[3], 16)
-        if code > 0x10FFFF:
-            continue
-        plain(m.start())
-        if codes and HIGH <= codes[-1] < LOW <= code < PAST:  # the second half of a pair
-            codes[-1] = 0x10000 + ((codes[-1] - HIGH) << 10) + code - LOW
-            to[-1] = layer.to[m.end() - 1]
-        else:
-            codes.append(code)
-            at.append(layer.at[m.start()])
-            to.append(layer.to[m.end() - 1])
-        k = m.end()
-    if k == run.start():
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return text, np.concatenate(([0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))))
+
+
+def _replaced(layer: Layer, parts: Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Found | None:
+    """The whole layer with its parts (start, end, new text, place of each new character and of its end) decoded."""
+    texts, at, to, k = [], [], [], 0
+    for start, end, text, first, last in parts:
+        plain = np.arange(k, start)
+        texts += [layer.text[k:start], text]
+        at += [layer.first(plain), layer.first(first)]
+        to += [layer.last(plain), layer.last(last)]
+        k = end
+    if not k:
         return None
-    plain(run.end())
-    return "".join(chr(c) if not HIGH <= c < PAST else chr(0xFFFD) for c in codes), at, to
+    rest = np.arange(k, len(layer.text))
+    return "".join([*texts, layer.text[k:]]), np.concatenate([*at, layer.first(rest)]), np.concatenate([*to, layer.last(rest)])
+
+
+def _percent(layer: Layer) -> Found | None:
+    def parts():
+        for m in PERCENT.finditer(layer.text):
+            if got := _utf8(bytes.fromhex(m[0].replace("%", ""))):
+                yield m.start(), m.end(), got[0], m.start() + 3 * got[1][:-1], m.start() + 3 * got[1][1:] - 1
+
+    return _replaced(layer, parts())
+
+
+def _escapes(layer: Layer) -> Found | None:
+    def parts():
+        high = None  # the first half of a pair, which waits for the second
+        for m in ESCAPES.finditer(layer.text):
+            code, start = int(m[1] or m[2] or m[3], 16), m.start()
+            if high and high[1] == start and LOW <= code < PAST:
+                code, start = 0x10000 + ((high[2] - HIGH) << 10) + code - LOW, high[0]
+            elif high:
+                yield high[0], high[1], "\ufffd", np.array([high[0]]), np.array([high[1] - 1])
+            high = None
+            if HIGH <= code < LOW:
+                high = start, m.end(), code
+            elif code <= 0x10FFFF:
+                yield start, m.end(), "\ufffd" if HIGH <= code < PAST else chr(code), np.array([start]), np.array([m.end() - 1])
+        if high:
+            yield high[0], high[1], "\ufffd", np.array([high[0]]), np.array([high[1] - 1])
+
+    return _replaced(layer, parts())
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """What may be base64, with the places of its characters: each run, its parts, and runs joined over line breaks."""
+    for m in BASE64.finditer(text):
+        yield m[0], np.arange(m.start(), m.end())
+        for p in PART.finditer(text, m.start(), m.end()):  # +, /, - or _ may stand between runs
+            if p[0] != m[0].rstrip("="):
+                yield p[0], np.arange(p.start(), p.end())
+    for chain in _chains(text):
+        for pieces in _wrapped(chain):
+            if sum(z - a for a, z in pieces) >= 16:
+                yield "".join(text[a:z] for a, z in pieces), np.concatenate([np.arange(a, z) for a, z in pieces])
+
+
+def _chains(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs (start, end) of base64 characters that only a line break and blanks part; the first may begin and the last may
+    end within a line."""
+    now, at = [], 0
+    for line in text.split("\n") if "\n" in text else ():
+        body = line.strip(" \t\r")
+        a = at + len(line) - len(line.lstrip(" \t\r"))
+        at += len(line) + 1
+        head = len(body) - len(body.lstrip(ALPHABET)) if now else 0
+        if head:
+            now.append((a, a + head))
+        if not head or head < len(body):
+            if len(now) > 1:
+                yield now
+            tail = len(body) - len(body.rstrip(ALPHABET))
+            now = [(a + len(body) - tail, a + len(body))] if tail else []
+    if len(now) > 1:
+        yield now
+
+
+def _wrapped(chain: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """The chain, and its lines of equal length with the shorter one that ends them: a word may stand on the line before."""
+    yield chain
+    sizes, i = [z - a for a, z in chain], 0
+    while i < len(chain):
+        j = i + 1
+        while j < len(chain) and sizes[j] == sizes[i]:
+            j += 1
+        end = j + (j < len(chain) and sizes[j] < sizes[i])
+        if 1 < end - i < len(chain):
+            yield chain[i:end]
+        i = j
 
 
 def _inflate(data: bytes) -> tuple[bytes, bool] | None:
     """What the bytes give if they are gzip or zlib, and whether it was cut at MOST_INFLATED."""
+    got, gz = bytearray(), data[:2] == b"\x1f\x8b"
+    if not gz and not (data[:1] == b"\x78" and len(data) > 5 and (data[0] << 8 | data[1]) % 31 == 0):
+        return None
     try:
-        if data[:2] == b"\x1f\x8b":
-            with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
-                got = f.read(MOST_INFLATED + 1)
-        elif data[:1] == b"\x78" and len(data) > 5 and (data[0] << 8 | data[1]) % 31 == 0:
-            got = zlib.decompressobj().decompress(data, MOST_INFLATED + 1)
-        else:
+        while data and len(got) <= MOST_INFLATED and (not gz or data[:2] == b"\x1f\x8b"):  # gzip has members
+            one = zlib.decompressobj(31 if gz else 15)
+            got += one.decompress(data, MOST_INFLATED + 1 - len(got))
+            data = one.unused_data if gz else b""  # what follows isn't part of it
+    except zlib.error:
+        if not got:
             return None
-    except (OSError, EOFError, zlib.error):
-        return None
-    return got[:MOST_INFLATED], len(got) > MOST_INFLATED
+    return bytes(got[:MOST_INFLATED]), len(got) > MOST_INFLATED
 
 
-def _base64(layer: Layer, start: int, run: str) -> tuple[Found | None, bool]:
-    """What a run of base64 characters gives, and whether it was cut."""
+def _base64(layer: Layer, run: str, places: np.ndarray) -> tuple[Found | None, bool]:
+    """What a run of base64 characters at these places gives, and whether it was cut."""
     run = run.rstrip("=")
     run = run[: len(run) - (len(run) % 4 == 1)]
     try:
         data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None, False
-    if (packed := _inflate(data)) is not None:  # one span for all of it
-        a, z = min(layer.at[start : start + len(run)]), max(layer.to[start : start + len(run)])
-        return _utf8(packed[0], [a] * len(packed[0]), [z] * len(packed[0])), packed[1]
-    if UNPRINTABLE.search(data[:8].decode("latin-1")) and data[:8].isascii():
+    packed = _inflate(data)
+    got = _utf8(data if packed is None else packed[0])
+    if got is None:
         return None, False
+    if packed is not None:  # one span for all of it
+        n, own = len(got[0]), places[: len(run)]
+        return (got[0], np.full(n, layer.first(own).min()), np.full(n, layer.last(own).max())), packed[1]
     # byte k holds bits of the characters 8k // 6 to (8k + 7) // 6
-    return _utf8(data, [layer.at[start + 8 * k // 6] for k in range(len(data))], [layer.to[start + (8 * k + 7) // 6] for k in range(len(data))]), False
+    return (got[0], layer.first(places[8 * got[1][:-1] // 6]), layer.last(places[(8 * got[1][1:] - 1) // 6])), False
 
 
 def layers(text: str) -> Iterator[tuple[Layer, bool]]:
     """Layer 0 and all that can be decoded from it, each content once; True for a layer that was cut."""
-    todo = [(Layer(text, range(len(text)), range(1, len(text) + 1), 0), False)]
+    todo = [(Layer(text, None, None, 0), False)]
     seen = {text}
     while todo:
         layer, cut = todo.pop()
         yield layer, cut
         got: list[tuple[Found | None, bool]] = []
-        if "%" in layer.text and PERCENT.search(layer.text):
-            got += [(_percent(layer, m), False) for m in RUN.finditer(layer.text) if "%" in m[0]]
-        if "\\" in layer.text and ESCAPES.search(layer.text):
-            got += [(_escapes(layer, m), False) for m in RUN.finditer(layer.text) if "\\" in m[0]]
-        for m in BASE64.finditer(layer.text):
-            whole = _base64(layer, m.start(), m[0])
-            if whole[0] is None:  # +, /, - or _ may stand between runs
-                got += [_base64(layer, p.start(), p[0]) for p in PART.finditer(layer.text, m.start(), m.end())]
-            got.append(whole)
+        if "%" in layer.text:
+            got.append((_percent(layer), False))
+        if "\\" in layer.text:
+            got.append((_escapes(layer), False))
+        got += [_base64(layer, run, places) for run, places in _runs(layer.text)]
         for new, was_cut in got:
             # the key has the place too: the same content elsewhere has spans of its own
-            if new and new[0] != layer.text and (key := (new[0], new[1][0], new[2][-1])) not in seen:
+            if new and new[0] and new[0] != layer.text and (key := (new[0], int(new[1][0]), int(new[2][-1]))) not in seen:
                 seen.add(key)
                 todo.append((Layer(*new, layer.depth + 1), was_cut))
 
@@ -201,7 +243,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         n, depth, capped = n + 1, max(depth, layer.depth), capped + cut
         if layer.depth:
             for start, kind, end in base_spans(layer.text):
-                spans.add((min(layer.at[start:end]), kind, max(layer.to[start:end])))
+                spans.add((int(layer.at[start:end].min()), kind, int(layer.to[start:end].max())))
     return base, sorted(spans), n, depth, capped
 
 
