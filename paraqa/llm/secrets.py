@@ -2,7 +2,8 @@
 
 Each text is layer 0. A layer is scanned, then decoded: the whole layer with its percent escapes, and with its Unicode or hex
 escapes, undone in place, so what crosses a blank or a line stays together; base64 runs, also those wrapped over single line
-breaks; and compressed bytes in what base64 gives. Each decoded text is a new layer on the worklist, with the place in the text of every one of its characters; a layer that this document has had already is not
+breaks; and compressed bytes in what base64 gives. Bytes that are no UTF-8 become U+FFFD, control characters stay, and ASCII in
+UTF-16 is a text too, so a bad byte hides nothing beside it. Each decoded text is a new layer on the worklist, with the place in the text of every one of its characters; a layer that this document has had already is not
 entered again, which ends cycles. The worklist is empty at the fixpoint. A finding in a layer covers the span of the text
 from which its characters come; a passage that was compressed can only be mapped as a whole.
 
@@ -37,7 +38,10 @@ ESCAPES = re.compile(r"\\(?:u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]{1,6})\}|x([0-9a-fA
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
 PART = re.compile(r"[A-Za-z0-9]{16,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
-UNPRINTABLE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+#: What bytes need to hold a pattern or another encoded passage: so many printable ones in a row, as no pattern matches less.
+STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16}")
+WIDE_LE, WIDE_BE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){16,}"), re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){16,}")
+ESCAPED = re.compile("[\udc80-\udcff]")
 HIGH, LOW, PAST = 0xD800, 0xDC00, 0xE000  # surrogates
 #: A compressed passage is inflated up to so many bytes; this bounds a task's memory against bombs, which are far larger
 #: than any text that holds a key. The layer's text up to there is scanned, and `capped` counts such layers.
@@ -77,16 +81,22 @@ class Layer:
 Found = tuple[str, np.ndarray, np.ndarray]
 
 
-def _utf8(data: bytes) -> tuple[str, np.ndarray] | None:
-    """Text of the bytes, and where in them each character begins and the last one ends; None if it isn't printable text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or UNPRINTABLE.search(text):
-        return None
-    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    return text, np.concatenate(([0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))))
+def _utf8(data: bytes) -> tuple[str, np.ndarray]:
+    """Text of the bytes, U+FFFD for each that isn't UTF-8; where in them each character begins and the last one ends."""
+    text = data.decode("utf-8", "surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    bad = (codes >= HIGH) & (codes < PAST)
+    sizes[bad] = 1
+    return ESCAPED.sub("\ufffd", text) if bad.any() else text, np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _wide(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """Stretches of ASCII in UTF-16, of either byte order, as _utf8() gives them, with their own places of the bytes."""
+    if b"\0" in data:
+        for pattern, first in ((WIDE_LE, 0), (WIDE_BE, 1)):
+            for m in pattern.finditer(data):
+                yield m[0][first::2].decode("ascii"), np.arange(m.start(), m.end() + 1, 2)
 
 
 def _replaced(layer: Layer, parts: Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Found | None:
@@ -107,8 +117,8 @@ def _replaced(layer: Layer, parts: Iterator[tuple[int, int, str, np.ndarray, np.
 def _percent(layer: Layer) -> Found | None:
     def parts():
         for m in PERCENT.finditer(layer.text):
-            if got := _utf8(bytes.fromhex(m[0].replace("%", ""))):
-                yield m.start(), m.end(), got[0], m.start() + 3 * got[1][:-1], m.start() + 3 * got[1][1:] - 1
+            text, edges = _utf8(bytes.fromhex(m[0].replace("%", "")))
+            yield m.start(), m.end(), text, m.start() + 3 * edges[:-1], m.start() + 3 * edges[1:] - 1
 
     return _replaced(layer, parts())
 
@@ -196,23 +206,29 @@ def _inflate(data: bytes) -> tuple[bytes, bool] | None:
     return bytes(got[:MOST_INFLATED]), len(got) > MOST_INFLATED
 
 
-def _base64(layer: Layer, run: str, places: np.ndarray) -> tuple[Found | None, bool]:
+def _texts(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """The texts in some bytes: as UTF-8, and the stretches in UTF-16. None where no stretch is long enough for a pattern."""
+    if STRETCH.search(data):
+        yield _utf8(data)
+    yield from _wide(data)
+
+
+def _base64(layer: Layer, run: str, places: np.ndarray) -> Iterator[tuple[Found, bool]]:
     """What a run of base64 characters at these places gives, and whether it was cut."""
     run = run.rstrip("=")
     run = run[: len(run) - (len(run) % 4 == 1)]
     try:
         data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None, False
-    packed = _inflate(data)
-    got = _utf8(data if packed is None else packed[0])
-    if got is None:
-        return None, False
-    if packed is not None:  # one span for all of it
-        n, own = len(got[0]), places[: len(run)]
-        return (got[0], np.full(n, layer.first(own).min()), np.full(n, layer.last(own).max())), packed[1]
-    # byte k holds bits of the characters 8k // 6 to (8k + 7) // 6
-    return (got[0], layer.first(places[8 * got[1][:-1] // 6]), layer.last(places[(8 * got[1][1:] - 1) // 6])), False
+        return
+    if packed := _inflate(data):  # one span for all of it
+        own = places[: len(run)]
+        for text, _ in _texts(packed[0]):
+            yield (text, np.full(len(text), layer.first(own).min()), np.full(len(text), layer.last(own).max())), packed[1]
+        return
+    for text, edges in _texts(data):
+        # byte k holds bits of the characters 8k // 6 to (8k + 7) // 6
+        yield (text, layer.first(places[8 * edges[:-1] // 6]), layer.last(places[(8 * edges[1:] - 1) // 6])), False
 
 
 def layers(text: str) -> Iterator[tuple[Layer, bool]]:
@@ -227,7 +243,8 @@ def layers(text: str) -> Iterator[tuple[Layer, bool]]:
             got.append((_percent(layer), False))
         if "\\" in layer.text:
             got.append((_escapes(layer), False))
-        got += [_base64(layer, run, places) for run, places in _runs(layer.text)]
+        for run, places in _runs(layer.text):
+            got += _base64(layer, run, places)
         for new, was_cut in got:
             # the key has the place too: the same content elsewhere has spans of its own
             if new and new[0] and new[0] != layer.text and (key := (new[0], int(new[1][0]), int(new[2][-1]))) not in seen:

@@ -45,3 +45,24 @@ def test_spans_of_wrapped_base64():
     (kind, span), = found(coded[:76] + "\n" + coded[76:])
     a = 4 * (51 // 3)
     assert kind == "access" and coded[a:].startswith(span.split("\n")[0]) and "\n" in span
+
+
+def test_bad_bytes_hide_no_secret():
+    key = f" {ACCESS} "
+    for text in (f"https://h/?city=M%FCnchen&password%3D{VALUE}", f"?x=%00&secret%3D{VALUE}", f"%E4%b8%ff%41{ACCESS[1:]}"):
+        (_, span), = found(text)
+        assert span.endswith(VALUE) or span.endswith(ACCESS[1:]), text
+    for data in (b"\0" + key.encode(), b"\xff\xfeabc" + key.encode() + b"\xe4", key.encode("utf-16"), key.encode("utf-16-be"), bytes(range(256)) + key.encode()):
+        for packed in (data, gzip.compress(data)):
+            coded = base64.b64encode(packed).decode()
+            assert any(k == "access" for k, _ in found(f"see {coded} ok")), data
+    # the span is still that of the key
+    coded = base64.b64encode(b"\xff\xe4\xb8\x00\xfc\xe9" + "é".encode() + ACCESS.encode()).decode()
+    (_, span), = found(coded)
+    assert span == coded[8 * 8 // 6 :].rstrip("=")
+
+
+def test_binary_without_a_long_stretch_is_no_layer():
+    rng = random.Random(2)
+    for _ in range(50):
+        assert secrets.scan("x " + base64.b64encode(rng.randbytes(90)).decode())[2] == 1
