@@ -1,12 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words (runs of letters, digits and underscores, lower case) of a text and of every benchmark item are hashed under fixed
-masks of SPAN positions. Each mask ignores two of the four interleaved classes of positions, so every window with at most
-two substituted words has an equal hash under one of the six masks, at the same place. Equal hashes of test and training
-windows are joined; around each hit the two texts are laid side by side, and the longest run with a share of SIMILARITY
-equal words that touches the hit's window is measured. A text is contaminated by an item if the run has LEAST words, or
-the whole of an item that is shorter. Items shorter than SPAN are hashed whole, those
-shorter than SHORTEST not at all.
+Words (runs of letters, digits and underscores, lower case) of a text and of every benchmark item are hashed under two masks
+in items of LEAST words and more: 1111 and 1110111. A run of 13 words or more with a share of 0.8 equal words has four equal
+words in a row, or is three equal words and a substituted one in turn, so every such run has an equal hash at the same place.
+Shorter items are cut into one piece more than they may have substituted words, so one piece is whole. Equal hashes of test
+and training texts are joined; at each place where one was met the two texts are laid side by side, and the longest run with
+a share of SIMILARITY equal words that touches a hit's window is measured. A text is contaminated by an item if the run has
+LEAST words, or if it holds all words of a shorter item with that share equal. Items shorter than SHORTEST match nothing.
 
 The benchmark is the query set: it is taken in blocks of about BLOCK_WORDS words, each broadcast by itself, whatever the
 benchmark's size; every text meets every block where it is read, without a shuffle.
@@ -29,16 +29,17 @@ from pyspark.sql import functions as F
 from .common import documents
 
 WORD = re.compile(r"\w+")
-SPAN, CLASSES = 12, 4
-#: The two classes that count under each mask; position k is of class k % CLASSES.
-MASKS = tuple((a, b) for a in range(CLASSES) for b in range(a + 1, CLASSES))
+#: Places of the words that count under each mask.
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4, 5, 6))
 SIMILARITY, LEAST = 0.8, 13
 #: Items of fewer words are no evidence and match nothing: they stand in clean texts by chance.
 SHORTEST = 5
 #: Words in a block of the benchmark, about; a block has len(MASKS) hashes of 8 bytes for each, and their places.
 BLOCK_WORDS = 200_000
-#: Odd multipliers of the positions of a window, and of whole short items.
-FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % k, 7) | 1 for k in range(SPAN)], dtype=np.uint64)
+#: Odd multipliers of the positions of a window.
+FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % k, 7) | 1 for k in range(LEAST)], dtype=np.uint64)
+#: Places of a text and an item that are compared at once.
+MOST_PLACES = 4096
 #: Distinct words whose hashes a task keeps at hand; beyond, it starts anew.
 MOST_WORDS = 1_000_000
 
@@ -64,31 +65,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def window_hashes(h: np.ndarray) -> list[np.ndarray]:
-    """For each mask, the hash of each window of SPAN words, of those in its classes only. Classes are summed once."""
-    n = len(h) - SPAN + 1
-    if n < 1:
-        return [np.zeros(0, np.uint64)] * len(MASKS)
-    sums = []
-    for c in range(CLASSES):
-        x = h[c : c + n] * FACTORS[c]
-        for k in range(c + CLASSES, SPAN, CLASSES):
-            x += h[k : k + n] * FACTORS[k]
-        sums.append(x)
-    return [mixed(sums[a] + sums[b] + np.uint64(k)) for k, (a, b) in enumerate(MASKS)]
+def window_hashes(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """The hash of each window, of the words that count under the mask."""
+    n = max(0, len(h) - mask[-1])
+    out = np.full(n, 1000 * len(mask) + mask[-1], np.uint64)
+    for k in mask:
+        out += h[k : k + n] * FACTORS[k]
+    return mixed(out)
 
 
-def whole_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each window of n words, less than SPAN, all of them counted."""
-    out = np.full(max(0, len(h) - n + 1), 1000 + n, np.uint64)
-    for k in range(n):
-        out += h[k : k + len(out)] * FACTORS[k]
-    return mixed(out)
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of an item of n words, less than LEAST: one more than words that may differ."""
+    parts = n - needed(n) + 1
+    edges = [n * k // parts for k in range(parts + 1)]
+    return [(a, z - a) for a, z in zip(edges, edges[1:], strict=False)]
+
 
+def needed(n: int) -> int:
+    """The least number of equal words among n."""
+    return -(-n * round(10 * SIMILARITY) // 10)
 
-def hashes_of(h: np.ndarray, lengths: list[int]) -> list[tuple[np.ndarray, int]]:
-    """Hashes and the span of their windows: under the masks, and whole for each of the lengths of short items."""
-    return [(x, SPAN) for x in window_hashes(h)] + [(whole_hashes(h, n), n) for n in lengths]
+
+def item_hashes(h: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
+    """(mask, hashes, their places) of an item."""
+    if len(h) >= LEAST:
+        for mask in MASKS:
+            x = window_hashes(h, mask)
+            yield mask, x, np.arange(len(x), dtype=np.int32)
+    elif len(h) >= SHORTEST:
+        for start, n in pieces(len(h)):
+            yield tuple(range(n)), window_hashes(h[start : start + n], tuple(range(n))), np.array([start], np.int32)
 
 
 class Block:
@@ -98,11 +104,14 @@ class Block:
         hasher = Hasher()
         self.ids = [ids for ids, _ in items]
         self.tokens = [hasher(words(text)) for _, text in items]
-        self.lengths = sorted({len(h) for h in self.tokens if SHORTEST <= len(h) < SPAN})
-        got = [(x, k) for k, h in enumerate(self.tokens) for x, span in hashes_of(h, [len(h)] * (SHORTEST <= len(h) < SPAN)) if len(x)]
-        hashes = np.concatenate([x for x, _ in got]) if got else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(x), k, np.int32) for x, k in got]) if got else np.zeros(0, np.int32)
-        place = np.concatenate([np.arange(len(x), dtype=np.int32) for x, _ in got]) if got else np.zeros(0, np.int32)
+        self.words = np.concatenate([np.zeros(0, np.uint64), *self.tokens])
+        self.sizes = np.array([len(h) for h in self.tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        got = [(k, *x) for k, h in enumerate(self.tokens) for x in item_hashes(h)]
+        self.masks = sorted({mask for _, mask, _, _ in got})
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(x for _, _, x, _ in got)])
+        item = np.concatenate([np.zeros(0, np.int32), *(np.full(len(x), k, np.int32) for k, _, x, _ in got)])
+        place = np.concatenate([np.zeros(0, np.int32), *(x for _, _, _, x in got)])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.item, self.place = hashes[order], item[order], place[order]
         self.shift = np.uint64(64 - min(26, max(10, (64 * len(hashes)).bit_length())))
@@ -112,7 +121,8 @@ class Block:
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Rows of (item, diagonal, first word, end) for every equal hash; each once."""
         found = []
-        for x, span in hashes_of(h, self.lengths):
+        for mask in self.masks:
+            x = window_hashes(h, mask)
             at = np.flatnonzero(self.table[x >> self.shift])
             if not len(at):
                 continue
@@ -122,27 +132,52 @@ class Block:
                 continue
             at, low, n = np.repeat(at, n), np.repeat(low, n), n[n > 0]
             k = low + np.arange(len(low)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack((self.item[k].astype(np.int64), at - self.place[k], at, at + span)))
-        return np.unique(np.concatenate(found, axis=1), axis=1).T if found else np.zeros((0, 4), np.int64)
+            found.append(np.stack((self.item[k].astype(np.int64), at - self.place[k], at, at + mask[-1] + 1)))
+        if not found:
+            return np.zeros((0, 4), np.int64)
+        rows = np.concatenate(found, axis=1)
+        return rows[:, np.lexsort(rows[::-1])].T
+
+    def enough(self, h: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Whether so many words are equal, wherever they stand, that a run can count."""
+        out = []
+        for k in range(0, len(item), MOST_PLACES):
+            i, d = item[k : k + MOST_PLACES], diagonal[k : k + MOST_PLACES]
+            sizes = self.sizes[i]
+            a, z = np.maximum(0, d), np.minimum(len(h), d + sizes)
+            first = np.cumsum(z - a) - (z - a)
+            at = np.arange((z - a).sum()) - np.repeat(first, z - a) + np.repeat(a, z - a)
+            equal = h[at] == self.words[at - np.repeat(d - self.starts[i], z - a)]
+            out.append(np.add.reduceat(equal, first, dtype=np.int64) >= NEEDED[np.minimum(sizes, LEAST)])
+        return np.concatenate(out)
 
     def matches(self, h: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
         """item: (words, equal words, first word in the text, first word in the item) of the longest run that counts."""
         best: dict[int, tuple[int, int, int, int]] = {}
         rows = self.hits(h)
-        cuts = np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0), axis=1)) + 1 if len(rows) else []
-        for part in np.split(rows, cuts) if len(rows) else []:
+        if not len(rows):
+            return best
+        cuts = np.concatenate(([0], np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0), axis=1)) + 1, [len(rows)]))
+        for n in np.flatnonzero(self.enough(h, rows[cuts[:-1], 0], rows[cuts[:-1], 1])):
+            part = rows[cuts[n] : cuts[n + 1]]
             item, diagonal = int(part[0, 0]), int(part[0, 1])
             t = self.tokens[item]
             a, z = max(0, diagonal), min(len(h), diagonal + len(t))
             equal = h[a:z] == t[a - diagonal : z - diagonal]
-            run = longest(equal, part[:, 2] - a, part[:, 3] - a)
+            if len(t) < LEAST:  # all of it, its first and last word equal or not
+                run = (0, len(t)) if len(equal) == len(t) else None
+            else:
+                run = longest(equal, part[:, 2] - a, part[:, 3] - a)
             if run and run[1] - run[0] >= min(LEAST, len(t)):
-                n = run[1] - run[0]
-                new = (n, int(equal[run[0] : run[1]].sum()), a + run[0], a + run[0] - diagonal)
+                size = run[1] - run[0]
+                new = (size, int(equal[run[0] : run[1]].sum()), a + run[0], a + run[0] - diagonal)
                 best[item] = max(best.get(item, new), new, key=lambda x: (x[0], x[1], -x[2]))
         return best
 
 
+NEEDED = np.array([needed(n) for n in range(LEAST + 1)])
+
+
 def longest(equal: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int] | None:
     """The longest stretch with a share of SIMILARITY equal words, from an equal word to an equal word, that shares a word
     with one of the windows (starts, ends)."""
