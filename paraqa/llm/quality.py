@@ -2,8 +2,8 @@
 
 Each text's signals are counted in one pass. Their distributions in every language and source are kept as log-linear
 quantile sketches: bins of whole numbers, 16 to an octave, hence within 6 % of the true quantile, and sketches merge by
-adding counts. The sketches of a source and language are merged from those of all tasks; a group of few documents
-borrows from its language, and that from all. Limits are fences above (or below) the middle half of a group's own
+adding counts. The sketches of a source and language are merged from those of all tasks; a group is judged by its own
+sketch, whatever its size. Limits are fences above (or below) the middle half of a group's own
 distribution; a document is kept if no signal is beyond its group's limits and the base rules hold.
 
 Nulls: a null text has no words and fails the base rules; null lang and source are groups of their own. Repeated rows are
@@ -31,8 +31,6 @@ SYMBOLS = b"#*$%&|<>"
 SIGNALS = {"symbols": ("high", 100), "dup_lines": ("high", 400), "repeats": ("high", 200), "long_words": ("high", 4000), "short_words": ("low", 1500)}
 #: A fence stands so many times the distance between the quartiles beyond the quartile.
 FENCE = 6
-#: A group with fewer documents takes the sketch of the next wider group.
-LEAST_GROUP = 200
 
 COUNTS = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("n_lines", pa.int64())])
 
@@ -119,17 +117,8 @@ def quantiles(cells: DataFrame, *by: str) -> DataFrame:
 
 
 def limits(rows: DataFrame) -> DataFrame:
-    """lang, source, and a struct of limits, one for each signal: from the narrowest group that has LEAST_GROUP documents.
-
-    rows are those the base rules kept. Wider sketches are merged from the narrow ones, without a second look at the rows.
-    """
-    narrow = staged(sketch(rows, "lang", "source"), "quality-sketch")
-    by_lang = narrow.groupBy("lang", "signal", "bin").agg(F.sum("n").alias("n"))
-    overall = by_lang.groupBy("signal", "bin").agg(F.sum("n").alias("n"))
-    q, ql, qa = quantiles(narrow, "lang", "source"), quantiles(by_lang, "lang"), quantiles(overall)
-    pick = lambda c: F.when(F.col("q.docs") >= LEAST_GROUP, F.col(f"q.{c}")).when(F.col("l.docs") >= LEAST_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
-    joined = q.alias("q").join(ql.alias("l"), F.col("q.lang").eqNullSafe(F.col("l.lang")) & (F.col("q.signal") == F.col("l.signal"))).join(F.broadcast(qa.alias("a")), F.col("q.signal") == F.col("a.signal"))  # a row for each signal
-    rows = joined.select("q.lang", "q.source", "q.signal", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    """lang, source, and a struct of limits, one for each signal, from the group's own sketch. rows are those the base rules kept."""
+    rows = quantiles(staged(sketch(rows, "lang", "source"), "quality-sketch"), "lang", "source")
     spread = FENCE * (F.col("q3") - F.col("q1"))
     slack = F.element_at(F.create_map(*(F.lit(x) for k, (_, s) in SIGNALS.items() for x in (k, s))), F.col("signal"))
     high, low = F.col("q3") + F.greatest(spread, slack), F.col("q1") - F.greatest(spread, slack)
