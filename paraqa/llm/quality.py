@@ -27,8 +27,9 @@ LEAST_WORDS, WINDOW, MOST_REPEAT = 10, 5, 20
 SYMBOLS = b"#*$%&|<>"
 
 #: Signal: which side is fenced, and the slack in parts per thousand that a limit always leaves beyond the quartile.
-#: Slack is what keeps a group whose documents are all alike from losing those that differ a little.
-SIGNALS = {"symbols": ("high", 100), "dup_lines": ("high", 400), "repeats": ("high", 200), "long_words": ("high", 4000), "short_words": ("low", 1500)}
+#: Slack is what keeps a group whose documents are all alike from losing those that differ a little; for repeats it is below what
+#: the base rule lets pass (200), or its fence could never bind.
+SIGNALS = {"symbols": ("high", 100), "dup_lines": ("high", 400), "repeats": ("high", 50), "long_words": ("high", 4000), "short_words": ("low", 1500)}
 #: A fence stands so many times the distance between the quartiles beyond the quartile.
 FENCE = 6
 

@@ -32,3 +32,22 @@ def test_small_groups_reject_their_outlier(spark):
     rows = [(prose(rng), "en", "web") for _ in range(300)] + [(prose(rng), "de", "web") for _ in range(20)]
     rows.append((" ".join(w + "###" for w in prose(rng).split()), "de", "web"))
     assert kept(spark, rows) == set(range(320))
+
+
+def test_each_signal_rejects_its_outlier(spark):
+    rng = random.Random(4)
+    lines = lambda: "\n".join(prose(rng, 8) for _ in range(10))
+    window = prose(rng, 5)
+    outliers = {
+        "symbols": lines().replace(" ", "## "),
+        "dup_lines": "\nx\n".join(lines().split("\n")) + "\nx",
+        "repeats": f"{lines()} {window} {lines()[:60]} {window}",
+        "long_words": " ".join("".join(rng.choices("abcdefgh", k=30)) for _ in range(80)),
+        "short_words": " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80)),
+    }
+    assert set(outliers) == set(quality.SIGNALS)
+    rows = [(lines(), "en", "s") for _ in range(250)] + [(t, "en", "s") for t in outliers.values()]
+    df = spark.createDataFrame([(k, *r, 1) for k, r in enumerate(rows)], DOCS)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {k for k, r in got.items() if r.kept} == set(range(250))
