@@ -2,7 +2,7 @@
 
 Each text is layer 0. A layer is scanned, then decoded: the whole layer with its percent escapes, and with its Unicode or hex
 escapes, undone in place, so what crosses a blank or a line stays together; base64 runs, also those wrapped over single line
-breaks; and compressed bytes in what base64 gives. Bytes that are no UTF-8 become U+FFFD, control characters stay, and ASCII in
+breaks; and what base64 gives, inflated if it is gzip, zlib, raw deflate, bz2, xz, lzma or zstandard. Bytes that are no UTF-8 become U+FFFD, control characters stay, and ASCII in
 UTF-16 is a text too, so a bad byte hides nothing beside it. Each decoded text is a new layer on the worklist, with the place in the text of every one of its characters; a layer that this document has had already is not
 entered again, which ends cycles. The worklist is empty at the fixpoint. A finding in a layer covers the span of the text
 from which its characters come; a passage that was compressed can only be mapped as a whole.
@@ -15,13 +15,18 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import hashlib
+import io
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import as_bytes, batch, documents
@@ -43,9 +48,14 @@ STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16}")
 WIDE_LE, WIDE_BE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){16,}"), re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){16,}")
 ESCAPED = re.compile("[\udc80-\udcff]")
 HIGH, LOW, PAST = 0xD800, 0xDC00, 0xE000  # surrogates
-#: A compressed passage is inflated up to so many bytes; this bounds a task's memory against bombs, which are far larger
-#: than any text that holds a key. The layer's text up to there is scanned, and `capped` counts such layers.
-MOST_INFLATED = 1 << 26
+#: A compressed passage is inflated to its end in windows of so many bytes, each a layer that begins OVERLAP bytes before the end
+#: of the one before; this bounds a task's memory. A pattern's match has its whole passage as its span, so a match that
+#: crosses a border is found in the overlap; only encoded passages over OVERLAP bytes within may be cut there. `capped` counts
+#: the windows after the first.
+WINDOW, OVERLAP, PIECE = 1 << 22, 1 << 20, 1 << 18
+#: First bytes of the formats.
+GZIP, BZIP, XZ, LZMA, ZSTD = b"\x1f\x8b", b"BZh", b"\xfd7zXZ\0", b"\x5d\0\0", b"\x28\xb5\x2f\xfd"
+DAMAGED = (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError)
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_layers", pa.int32()), ("depth", pa.int32()), ("capped", pa.int32())])
 DDL = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers int, depth int, capped int"
@@ -190,20 +200,65 @@ def _wrapped(chain: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
         i = j
 
 
-def _inflate(data: bytes) -> tuple[bytes, bool] | None:
-    """What the bytes give if they are gzip or zlib, and whether it was cut at MOST_INFLATED."""
-    got, gz = bytearray(), data[:2] == b"\x1f\x8b"
-    if not gz and not (data[:1] == b"\x78" and len(data) > 5 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
+def _deflated(data: bytes, bits: int) -> Iterator[bytes]:
+    while data:
+        one, rest = zlib.decompressobj(bits), data
+        while not one.eof:
+            got = one.decompress(rest, PIECE)
+            rest = one.unconsumed_tail
+            if not got and not rest:
+                return
+            yield got
+        data = one.unused_data if one.unused_data[:2] == GZIP else b""  # gzip has members
+
+
+def _members(make, data: bytes) -> Iterator[bytes]:
+    """What bz2 and lzma give, member after member."""
+    while data:
+        one, rest = make(), data
+        while not one.eof:
+            yield (got := one.decompress(rest, PIECE))
+            rest = b""
+            if not got and one.needs_input:
+                return
+        data = one.unused_data
+
+
+def _zstd(data: bytes) -> Iterator[bytes]:
+    with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(io.BytesIO(data), read_across_frames=True) as f:
+        while got := f.read(PIECE):
+            yield got
+
+
+def _windows(stream: Iterator[bytes]) -> Iterator[bytes]:
+    """All that a stream gives, up to where it is damaged, in windows that overlap."""
+    held, n = bytearray(), 0
     try:
-        while data and len(got) <= MOST_INFLATED and (not gz or data[:2] == b"\x1f\x8b"):  # gzip has members
-            one = zlib.decompressobj(31 if gz else 15)
-            got += one.decompress(data, MOST_INFLATED + 1 - len(got))
-            data = one.unused_data if gz else b""  # what follows isn't part of it
-    except zlib.error:
-        if not got:
-            return None
-    return bytes(got[:MOST_INFLATED]), len(got) > MOST_INFLATED
+        for got in stream:
+            held += got
+            while len(held) > WINDOW:
+                yield bytes(held[:WINDOW])
+                del held[: WINDOW - OVERLAP]
+                n += 1
+    except DAMAGED:
+        pass
+    if held and (not n or len(held) > OVERLAP):
+        yield bytes(held)
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """Windows of what some bytes give if they are compressed."""
+    if data[:2] == GZIP:
+        return _windows(_deflated(data, 31))
+    if data[:3] == BZIP:
+        return _windows(_members(bz2.BZ2Decompressor, data))
+    if data[:6] == XZ or data[:3] == LZMA:
+        return _windows(_members(partial(lzma.LZMADecompressor, memlimit=1 << 28), data))
+    if data[:4] == ZSTD:
+        return _windows(_zstd(data))
+    if data[:1] == b"\x78" and len(data) > 5 and (data[0] << 8 | data[1]) % 31 == 0:
+        return _windows(_deflated(data, 15))
+    return _windows(_deflated(data, -15))
 
 
 def _texts(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
@@ -214,46 +269,56 @@ def _texts(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
 
 
 def _base64(layer: Layer, run: str, places: np.ndarray) -> Iterator[tuple[Found, bool]]:
-    """What a run of base64 characters at these places gives, and whether it was cut."""
+    """What a run of base64 characters at these places gives, and whether it is a window after the first."""
     run = run.rstrip("=")
     run = run[: len(run) - (len(run) % 4 == 1)]
     try:
         data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
     except (binascii.Error, ValueError):
         return
-    if packed := _inflate(data):  # one span for all of it
-        own = places[: len(run)]
-        for text, _ in _texts(packed[0]):
-            yield (text, np.full(len(text), layer.first(own).min()), np.full(len(text), layer.last(own).max())), packed[1]
-        return
+    own = places[: len(run)]
+    for k, window in enumerate(_inflated(data)):  # one span for all of it
+        for text, _ in _texts(window):
+            yield (text, np.broadcast_to(layer.first(own).min(), len(text)), np.broadcast_to(layer.last(own).max(), len(text))), k > 0
     for text, edges in _texts(data):
         # byte k holds bits of the characters 8k // 6 to (8k + 7) // 6
         yield (text, layer.first(places[8 * edges[:-1] // 6]), layer.last(places[(8 * edges[1:] - 1) // 6])), False
 
 
+def _next(layer: Layer) -> Iterator[tuple[Found | None, bool]]:
+    if "%" in layer.text:
+        yield _percent(layer), False
+    if "\\" in layer.text:
+        yield _escapes(layer), False
+    for run, places in _runs(layer.text):
+        yield from _base64(layer, run, places)
+
+
 def layers(text: str) -> Iterator[tuple[Layer, bool]]:
-    """Layer 0 and all that can be decoded from it, each content once; True for a layer that was cut."""
-    todo = [(Layer(text, None, None, 0), False)]
-    seen = {text}
+    """Layer 0 and all that can be decoded from it, each content once; True for a window after the first. A layer's
+    successors are decoded one at a time, and what comes of each before the next."""
+    seen = set()
+    first = Layer(text, None, None, 0)
+    yield first, False
+    todo = [(first, _next(first))]
     while todo:
-        layer, cut = todo.pop()
-        yield layer, cut
-        got: list[tuple[Found | None, bool]] = []
-        if "%" in layer.text:
-            got.append((_percent(layer), False))
-        if "\\" in layer.text:
-            got.append((_escapes(layer), False))
-        for run, places in _runs(layer.text):
-            got += _base64(layer, run, places)
-        for new, was_cut in got:
+        layer, rest = todo[-1]
+        if (got := next(rest, None)) is None:
+            todo.pop()
+            continue
+        new, later = got
+        if new and new[0] and new[0] != layer.text and new[0] != text:
             # the key has the place too: the same content elsewhere has spans of its own
-            if new and new[0] and new[0] != layer.text and (key := (new[0], int(new[1][0]), int(new[2][-1]))) not in seen:
+            key = (hashlib.sha256(new[0].encode("utf-8", "surrogatepass")).digest(), int(new[1][0]), int(new[2][-1]))
+            if key not in seen:
                 seen.add(key)
-                todo.append((Layer(*new, layer.depth + 1), was_cut))
+                one = Layer(*new, layer.depth + 1)
+                yield one, later
+                todo.append((one, _next(one)))
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int, int]:
-    """Base spans; all spans, in order of start, kind, end; number of layers, depth, layers that were cut."""
+    """Base spans; all spans, in order of start, kind, end; number of layers, depth, windows after the first."""
     base = base_spans(text)
     spans, n, depth, capped = set(base), 0, 0, 0
     for layer, cut in layers(text):

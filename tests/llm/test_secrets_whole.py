@@ -1,11 +1,14 @@
 """Secrets that cross blanks, line breaks and bad bytes of an encoded passage."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import zlib
 
 import pytest
+import zstandard
 
 from paraqa.llm import secrets
 
@@ -66,3 +69,27 @@ def test_binary_without_a_long_stretch_is_no_layer():
     rng = random.Random(2)
     for _ in range(50):
         assert secrets.scan("x " + base64.b64encode(rng.randbytes(90)).decode())[2] == 1
+
+
+def raw(data):
+    one = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return one.compress(data) + one.flush()
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, raw, bz2.compress, lzma.compress, lambda x: lzma.compress(x, lzma.FORMAT_ALONE), zstandard.compress, lambda x: gzip.compress(x[:9]) + gzip.compress(x[9:])])
+def test_all_formats_are_inflated_whole(pack, monkeypatch):
+    noise = random.Random(3).randbytes(400)
+    for data in (noise + f" {ACCESS} ".encode() + noise, "é".encode() * 3000 + ACCESS.encode()):
+        coded = base64.b64encode(pack(data)).decode()
+        assert ("access", coded.rstrip("=")) in found(f"see {coded} ok")
+    monkeypatch.setattr(secrets, "WINDOW", 512)
+    monkeypatch.setattr(secrets, "OVERLAP", 128)
+    monkeypatch.setattr(secrets, "PIECE", 64)
+    for at in range(400, 520, 7):  # over a border
+        coded = base64.b64encode(pack(b"\0" * at + ACCESS.encode() + b"\0" * 900)).decode()
+        assert ("access", coded.rstrip("=")) in found(f"see {coded} ok"), at
+
+
+def test_secret_beyond_64_megabytes():
+    coded = base64.b64encode(gzip.compress(b"\0" * (66 << 20) + ACCESS.encode())).decode()
+    assert {k for k, _ in found(f"see {coded} ok")} == {"access"}
