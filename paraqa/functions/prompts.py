@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
+#: What tells a family of models by its address or its name; the tags and fences around a JSON reply; the
+#: headings of a prompt.
+THINKING = ("dashscope", "qwen")
+JSON_TAGS, FENCES = "^<json>|</json>$", r"^```(?:json)?\s*|\s*```$"
+GLOSSARY, HINTS = "Glossary Tables", "Contextual Hints for Better Translation"
+
 
 def clean_json(text: Column) -> Column:
     """Without <json> tags and code fences."""
-    bare = T.strip(F.regexp_replace(T.strip(F.coalesce(text, F.lit(""))), "^<json>|</json>$", ""))
-    return T.strip(F.regexp_replace(bare, r"^```(?:json)?\s*|\s*```$", ""))
+    bare = T.strip(F.regexp_replace(T.strip(F.coalesce(text, F.lit(""))), JSON_TAGS, ""))
+    return T.strip(F.regexp_replace(bare, FENCES, ""))
 
 
 def section(prompt: Column, heading: str) -> Column:
@@ -35,21 +41,20 @@ def glossary_targets(markdown: Column) -> Column:
 def items(rows: DataFrame, by: str, reply: str) -> DataFrame:
     """by, seq, item (variant): the elements of a reply, a list or one object; those without an id, and bad replies, are none."""
     parsed = rows.select(by, F.try_parse_json(clean_json(F.col(reply))).alias("v")).where("v IS NOT NULL")
-    listed = parsed.selectExpr(by, "CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN v ELSE parse_json(concat('[', to_json(v), ']')) END AS v")
-    listed.createOrReplaceTempView("paraqa_replies")
-    spark = rows.sparkSession
-    return spark.sql(f"SELECT {by}, e.pos AS seq, e.value AS item FROM paraqa_replies, LATERAL variant_explode(v) AS e WHERE schema_of_variant(e.value) LIKE 'OBJECT%' AND try_variant_get(e.value, '$.id', 'int') IS NOT NULL")
+    listed = parsed.select(by, F.expr("CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN CAST(v AS array<variant>) ELSE array(v) END AS parts"))
+    return listed.select(by, F.posexplode("parts").alias("seq", "item")).where("schema_of_variant(item) LIKE 'OBJECT%' AND try_variant_get(item, '$.id', 'int') IS NOT NULL")
 
 
 def batch_prompt(rows: DataFrame, by: str, prompt: str) -> DataFrame:
     """by, id, input: the rows of a batch prompt, after its marker. A prompt without the marker, or whose rest isn't a list of
-    objects that all have an id, gives none; the last of equal ids counts."""
+    objects that all have the key `id`, gives none; the last of equal ids counts. An id that is no whole number is null."""
     read = rows.select(by, F.try_parse_json(tail(F.col(prompt), T.BATCH_MARKER)).alias("v")).where("schema_of_variant(v) LIKE 'ARRAY%'")
     parts = read.select(by, F.expr("CAST(v AS array<variant>)").alias("parts"))
-    good = F.expr("forall(parts, x -> coalesce(schema_of_variant(x) LIKE 'OBJECT%' AND try_variant_get(x, '$.id', 'int') IS NOT NULL, false))")
+    good = F.expr("forall(parts, x -> coalesce(schema_of_variant(x) LIKE 'OBJECT%' AND try_variant_get(x, '$.id', 'variant') IS NOT NULL, false))")
     rowed = parts.where(good).select(by, F.posexplode("parts").alias("seq", "item"))
     got = rowed.select(by, "seq", F.expr("try_variant_get(item, '$.id', 'int')").alias("id"), F.expr("try_variant_get(item, '$.input', 'string')").alias("input"))
-    return got.groupBy(by, "id").agg(F.max_by("input", "seq").alias("input"))
+    own = F.when(F.col("id").isNull(), F.col("seq"))  # ids that can't be compared stay apart
+    return got.groupBy(by, "id", own.alias("own")).agg(F.max_by("input", "seq").alias("input")).drop("own")
 
 
 def batch_output(rows: DataFrame, by: str, reply: str) -> DataFrame:
@@ -76,8 +81,8 @@ def reviews(rows: DataFrame, by: str, reply: str) -> DataFrame:
         F.filter(F.coalesce(problems, F.array().cast("array<string>")), lambda p: T.strip(p) != "").alias("problems"),
         F.coalesce(F.expr(f"CASE WHEN {kind.format('output')} = 'STRING' THEN {get.format('output', 'string')} END"), F.lit("")).alias("output"),
     )
-    last = got.groupBy(by, "id").agg(F.max_by(F.struct("verdict", "problems", "output"), "seq").alias("r"))
-    return last.select(by, "id", "r.*")
+    last = got.groupBy(by, "id").agg(F.max_by(F.struct("verdict", "problems", "output"), "seq").alias("_last"))
+    return last.select(by, "id", "_last.*")
 
 
 def dump_output(rows: DataFrame, by: str) -> DataFrame:
@@ -91,5 +96,13 @@ def review_prompt(payload: Column, glossary: Column, context: Column) -> Column:
     return F.concat_ws("\n\n", part("Context", context), part("Glossary", glossary), F.concat(F.lit("## Rows\n"), payload))
 
 
-def role_prompt(base: str, extra: str = "") -> str:
-    return f"{base}\n{extra}" if extra else base
+def role_prompt(base: Column, extra: Column) -> Column:
+    """The translator's role, and the user's own requirements below it where there are any."""
+    more = T.strip(F.coalesce(extra, F.lit("")))
+    return F.when(more == "", base).otherwise(F.concat(base, F.lit("\n\n## Requirements\n"), more))
+
+
+def request_options(base_url: Column, model: Column) -> Column:
+    """Options that a family of models needs, as JSON: those that think unless told not to."""
+    thinks = F.contains(F.coalesce(base_url, F.lit("")), F.lit(THINKING[0])) | F.startswith(F.lower(F.coalesce(model, F.lit(""))), F.lit(THINKING[1]))
+    return F.when(thinks, F.lit('{"enable_thinking":false}')).otherwise(F.lit("{}"))

@@ -8,17 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as a placeholder, a number, an English word, a CJK character, and prompt markers.
-PLACEHOLDER = r"\{\s*v\s*\d+\s*\}|<\s*style\s+id\s*=\s*'\s*\d+\s*'\s*>|<\s*/\s*style\s*>|<\s*/?\s*b\d+\s*>"
-NUMBER = r"\d+(?:[.,]\d+)*"
+# Spaces and digits are those of Unicode, named so that Java and RE2 read them alike (their own \s and \d are ASCII).
+SPACES = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE, DIGIT = f"[{SPACES}]+", r"\p{Nd}"
+PLACEHOLDER = r"\{\s*v\s*\d+\s*\}|<\s*style\s+id\s*=\s*'\s*\d+\s*'\s*>|<\s*/\s*style\s*>|<\s*/?\s*b\d+\s*>".replace(r"\s", f"[{SPACES}]").replace(r"\d", DIGIT)
+NUMBER = rf"{DIGIT}+(?:[.,]{DIGIT}+)*"
 ENGLISH_WORD = r"[A-Za-z][A-Za-z'’-]+"
 CJK = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
 BATCH_MARKER = "## Here is the input:"
 SINGLE_MARKER = "Now translate the following text:"
 GLOSSARY_HEADER = "Source Term"
 
-#: Java's \s without (?U) is ASCII only. WHITE: the characters of (?U)\s.
-SPACE = r"(?U)\s+"
-WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: The characters of SPACES.
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,7 +53,7 @@ def _marked(text: Column) -> Column:
 
 def placeholders(text: Column) -> Column:
     """All placeholders, duplicates kept, without inner space."""
-    found = F.transform(every(text, PLACEHOLDER), lambda p: F.regexp_replace(p, r"\s+", ""))
+    found = F.transform(every(text, PLACEHOLDER), lambda p: F.regexp_replace(p, SPACE, ""))
     return F.when(~_marked(text), F.array().cast("array<string>")).otherwise(found)
 
 
@@ -67,7 +69,7 @@ def numbers(text: Column) -> Column:
 
 def numbers_in(bare: Column) -> Column:
     """Of a text without placeholders."""
-    return F.transform(every(bare, NUMBER), lambda n: F.regexp_replace(n, r",(?=\d{3}\b)", ""))
+    return F.transform(every(bare, NUMBER), lambda n: F.regexp_replace(n, rf",(?={DIGIT}{{3}}(?!{DIGIT}))", ""))
 
 
 def english_runs(text: Column, least: int = 4) -> Column:
@@ -79,7 +81,7 @@ def english_runs(text: Column, least: int = 4) -> Column:
 def english_runs_in(bare: Column, least: int = 4) -> Column:
     """Of a text without placeholders."""
     word = r"[A-Za-z][A-Za-z'’-]*+"
-    return F.transform(every(bare, rf"{word}(?:[\s,;:]++{word}){{{least - 1},}}+"), strip)
+    return F.transform(every(bare, rf"{word}(?:[{SPACES},;:]++{word}){{{least - 1},}}+"), strip)
 
 
 def count_cjk(text: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..functions import text as T
 
+#: Fixed value: the shortest paragraph that is translated.
+LEAST_LENGTH = 3
 #: Codes of the notes that a refused fix leaves.
 BREAKS, WORSE = "kept_draft:markup", "kept_draft:issues"
 
@@ -34,6 +36,42 @@ def retranslated(rows: DataFrame, keep: Column | None = None) -> DataFrame:
     return rows.withColumns({"final": F.when(better, F.col("again")).otherwise(F.col("draft")), "problems": F.when(better, F.col("issues")).otherwise(F.array().cast("array<string>"))}).drop("_again", "issues")
 
 
+def improve(rows: DataFrame, mode: str, reviews: DataFrame | None = None, replied: DataFrame | None = None, keep: Column | None = None) -> DataFrame:
+    """rows (batch, id, source, draft, and `again` where a second draft can be had) with final and problems.
+
+    mode `full`: a batch whose review could be read is decided by it, rows that it doesn't name keep their draft; where the
+    review failed, and in mode `rules`, a second draft counts if it has strictly fewer issues. mode `off`: drafts as they
+    are. reviews: batch, id, verdict, problems, output. replied: the batches whose reply could be read, if not just those
+    of reviews.
+    """
+    none = F.array().cast("array<string>")
+    if mode == "off":
+        return rows.withColumns({"final": F.col("draft"), "problems": none})
+    if mode not in ("full", "rules"):
+        raise ValueError(f"no such mode: {mode}")
+    if "again" not in rows.columns:
+        rows = rows.withColumn("again", F.lit(None).cast("string"))
+    if mode == "rules" or reviews is None:
+        return retranslated(rows, keep)
+    read = (reviews if replied is None else replied).select("batch").distinct().withColumn("_read", F.lit(True))
+    found = rows.join(reviews.select("batch", "id", "verdict", "output", F.col("problems").alias("_said")), ["batch", "id"], "left").join(read, "batch", "left")
+    first, second = found.where("_read"), found.where("_read IS NULL")
+    chosen = choose(first.withColumnRenamed("_said", "problems"), keep).drop("verdict", "output", "_read")
+    return chosen.unionByName(retranslated(second.drop("verdict", "output", "_read", "_said"), keep))
+
+
+def notes_of(improved: DataFrame, seq: Column | None = None) -> DataFrame:
+    """k, source, draft, final, problems (and seq, the order of writing) of what improve() gave, to be upserted; it is saved
+    whatever was decided."""
+    order = [] if seq is None else [seq.alias("seq")]
+    return improved.select(T.key(F.col("source")).alias("k"), "source", "draft", "final", "problems", *order)
+
+
+def translatable(rows: DataFrame, least: int = LEAST_LENGTH) -> DataFrame:
+    """Rows whose source is long enough to be translated."""
+    return rows.where(F.length("source") >= least)
+
+
 def finish(rows: DataFrame, overrides: DataFrame, notes: DataFrame, keep: Column | None = None) -> DataFrame:
     """rows (source, text) as paragraphs: a correction by hand wins and isn't checked; a note gives draft and problems.
 

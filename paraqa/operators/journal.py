@@ -14,7 +14,7 @@ def latest(rows: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     An aggregation, so a key that is written often is combined where it is read.
     """
     rest = [c for c in rows.columns if c not in (key, seq)]
-    return rows.groupBy(key).agg(F.min(seq).alias("first_seq"), F.max_by(F.struct(*rest), seq).alias("r")).select(key, "first_seq", "r.*")
+    return rows.groupBy(key).agg(F.min(seq).alias("first_seq"), F.max_by(F.struct(*rest), seq).alias("_last")).select(key, "first_seq", "_last.*")
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str = "k") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,5 +80,8 @@ def entries(lines: DataFrame) -> DataFrame:
     return lines.groupBy("block").applyInPandas(lambda f: next(_entries(iter([f.sort_values("seq")]))), ddl)
 
 
-def heading_number(text: str) -> bool:
-    return bool(re.fullmatch(SECTION_NUMBER, text))
+def entry_boxes(boxes: DataFrame, chars: DataFrame) -> DataFrame:
+    """boxes (line, y, y2) with the height of their characters' font boxes: the least y and the greatest y2 of both, blanks
+    left out. chars: line, c, y, y2."""
+    reach = chars.where(F.trim(F.coalesce("c", F.lit(""))) != "").groupBy("line").agg(F.min("y").alias("_low"), F.max("y2").alias("_high"))
+    return boxes.join(reach, "line", "left").withColumns({"y": F.least("y", "_low"), "y2": F.greatest("y2", "_high")}).drop("_low", "_high")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 #: Kinds in their order; length of probes and of the shortest; words, run and CJK share of an English block;
-#: length that sources and blocks are compared by; page rank of rows without a page.
+#: length that sources and blocks are compared by; page rank of rows without a page;
+#: characters of a row that a list shows.
 KINDS = ("check", "english", "fixed", "manual")
-PROBE, LEAST_PROBE, BLOCK_WORDS, BLOCK_RUN, BLOCK_CJK, SAME, NO_PAGE = 12, 4, 12, 6, 0.1, 40, 1_000_000
+PROBE, LEAST_PROBE, BLOCK_WORDS, BLOCK_RUN, BLOCK_CJK, SAME, NO_PAGE, SNIPPET = 12, 4, 12, 6, 0.1, 40, 1_000_000, 80
 
 #: Characters that a page is cut into before its strings are listed.
 BLOCK = 256
@@ -74,6 +75,12 @@ def notes() -> Column:
     return F.when(F.col("overridden"), F.array(F.lit("manual"))).when(F.size("issues") > 0, F.concat("issues", reviewed)).when(F.size("problems") > 0, F.col("problems")).otherwise(F.array(F.lit("corrected")))
 
 
+def snippet() -> Column:
+    """What a list shows of an item: its notes, and the start of the translation, or of the source without one."""
+    text = F.when(F.coalesce("translation", F.lit("")) != "", F.col("translation")).otherwise(F.col("source"))
+    return F.concat(F.array_join("notes", "; "), F.lit(" | "), F.substring(F.coalesce(text, F.lit("")), 1, SNIPPET))
+
+
 def rank(column: str = "kind") -> Column:
     return F.array_position(F.array(*map(F.lit, KINDS)), F.col(column))
 
@@ -89,4 +96,5 @@ def build(paragraphs: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFra
 
 def summary(items: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """One row: number of paragraphs and of items of each kind."""
-    return items.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in KINDS)).crossJoin(paragraphs.agg(F.count("*").alias("paragraphs")))  # one row each
+    rows = items.select("kind", F.lit(0).alias("n")).union(paragraphs.select(F.lit(None).cast("string"), F.lit(1)))
+    return rows.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in KINDS), F.coalesce(F.sum("n"), F.lit(0)).alias("paragraphs"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+
 
 def page_tops(pages: DataFrame, by: str, zoom: float, gap: int) -> DataFrame:
     """pages (by, page, height) with top: the heights of the pages before, rounded, and the gaps."""
@@ -14,6 +16,23 @@ def page_tops(pages: DataFrame, by: str, zoom: float, gap: int) -> DataFrame:
     return pages.withColumn("top", F.coalesce(F.sum(step).over(before), F.lit(0)))
 
 
+def page_widths(pages: DataFrame, by: str) -> DataFrame:
+    """by, width: the widest page of each document, 1 where no width is known."""
+    return pages.groupBy(by).agg(F.coalesce(F.max("width"), F.lit(1.0)).alias("width"))
+
+
+def totals(batches: DataFrame, by: str) -> DataFrame:
+    """by, tokens, seconds, pages, pace: sums over the batches that were translated, and seconds a page."""
+    rows = batches.groupBy(by).agg(F.sum("tokens").alias("tokens"), F.sum("seconds").alias("seconds"), F.sum("pages").alias("pages"))
+    return rows.withColumn("pace", F.when(F.col("pages") > 0, F.col("seconds") / F.col("pages")).otherwise(0.0))
+
+
+def progress(events: DataFrame, by: str) -> DataFrame:
+    """by, stage, overall: of each job's last event (seq, stage, done, percent, total), its stage and percent of the whole job."""
+    last = events.groupBy(by).agg(F.max_by(F.struct("stage", "done", "percent", "total"), "seq").alias("e"))
+    return last.select(by, T.progress_text(F.col("e.stage")).alias("stage"), T.overall_progress(F.col("e.done"), F.col("e.percent"), F.col("e.total")).alias("overall"))
+
+
 def page_at(tops: DataFrame, offsets: DataFrame, by: str) -> DataFrame:
     """by, y, page: the last page that starts at the offset or above; the first one where none does.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import report
 from ..operators.journal import delete, upsert
 
 ITEM = "kind string, page int, source string, translation string, notes array<string>, draft string"
@@ -26,8 +27,11 @@ def write_glossary(glossary: DataFrame, path: str) -> None:
 
 
 def write_report(items: DataFrame, paragraphs: int, path: str) -> None:
-    """The report as one JSON object: a report is read by people."""
-    body = items.agg(F.collect_list(F.struct("kind", "page", "source", "translation", "notes", "draft")).alias("items"))
+    """The report as one JSON object, items in report order: a report is read by people. items: as of report.build()."""
+    order = (report.rank().alias("_rank"), F.coalesce("page", F.lit(report.NO_PAGE)).alias("_page"), F.col("seq").alias("_seq"))
+    rows = F.array_sort(F.collect_list(F.struct(*order, "kind", "page", "source", "translation", "notes", "draft")))
+    fields = ("kind", "page", "source", "translation", "notes", "draft")
+    body = items.agg(F.transform(rows, lambda r: F.struct(*(r[f].alias(f) for f in fields))).alias("items"))
     body.select(F.to_json(F.struct(F.lit(paragraphs).alias("paragraphs"), "items")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
@@ -36,6 +40,44 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"paragraphs long, items array<struct<{ITEM.replace(' string', ': string').replace(' int', ': int').replace(' array', ': array')}>>").json(path, multiLine=True).select("paragraphs", F.inline("items"))
 
 
+#: A paragraph as a batch keeps it.
+PARAGRAPH = "source string, final string, draft string, problems array<string>, issues array<string>, layout string, corrected boolean, overridden boolean"
+
+
+def write_notes(paragraphs: DataFrame, path: str) -> None:
+    """Records of a batch as JSON, a line each."""
+    paragraphs.write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a batch, from lines or from one array; fields that aren't there are null, a path that isn't there has none."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], PARAGRAPH)
+    return spark.read.schema(PARAGRAPH).json(path, multiLine=True) if path.endswith(".json") else spark.read.schema(PARAGRAPH).json(path)
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """page, i, text: the lines of each page, counted from 0. pages: page, text."""
+    return pages.select("page", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+
+
+def moved(spark: SparkSession, path: str, to: str) -> str | None:
+    """Puts a finished file or folder in its place at once, over what is there; None where there is nothing to move."""
+    if not _exists(spark, path):
+        return None
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"can't move {path} to {to}")
+    return to
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def save_keyed(spark: SparkSession, path: str, changes: DataFrame, schema: str) -> DataFrame:
     """Upserts changes (with k and seq) into a keyed table, as a new version beside the old one; returns the table."""
     return _next(spark, path, lambda old: upsert(old, changes), schema)

@@ -25,8 +25,10 @@ def batches(pages: DataFrame, by: str) -> DataFrame:
 
 
 def todo(batched: DataFrame, done: DataFrame, by: str) -> DataFrame:
-    """Pages of batches that aren't done yet under their key."""
-    return batched.join(done.select(by, "batch_key").distinct(), [by, "batch_key"], "left_anti")
+    """Pages of batches that aren't done yet under their key. Where both have a signature, a part that was made under another
+    one (another file, other settings) isn't done either."""
+    keys = [by, "batch_key", *(["signature"] if "signature" in batched.columns and "signature" in done.columns else [])]
+    return batched.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def run(spark: SparkSession, source: str, schema: str, checkpoint: str, each: Callable[[DataFrame, int], None], files: int = 1) -> StreamingQuery:

@@ -93,9 +93,54 @@ def test_store(spark, tmp_path):
 def test_glossary_and_report_files(spark, tmp_path):
     (tmp_path / "g.csv").write_text("﻿source,target\n cell ,细胞\n,x\nDNA,DNA\n", encoding="utf-8")
     assert sorted(map(tuple, tables.read_glossary(spark, str(tmp_path / "g.csv")).collect())) == [("DNA", "DNA"), ("cell", "细胞")]
-    items = spark.createDataFrame([("check", 3, "s", "t", ["n"], "d")], tables.ITEM)
+
+
+def test_report_file_is_in_order(spark, tmp_path):
+    rows = [(k, ("manual", "check", "fixed", "english")[k % 4], None if k % 5 == 0 else k * 7 % 11, f"s{k}", "t", ["n"], "d") for k in range(200)]
+    items = spark.createDataFrame(rows, "seq long, " + tables.ITEM).repartition(16)
     tables.write_report(items, 7, str(tmp_path / "r"))
-    assert [tuple(r) for r in tables.read_report(spark, str(tmp_path / "r")).collect()] == [(7, "check", 3, "s", "t", ["n"], "d")]
+    got = [tuple(r) for r in tables.read_report(spark, str(tmp_path / "r")).collect()]
+    kinds = ("check", "english", "fixed", "manual")
+    want = sorted(rows, key=lambda r: (kinds.index(r[1]), 10**6 if r[2] is None else r[2], r[0]))
+    assert got == [(7, *r[1:]) for r in want]
+
+
+def test_batch_notes_and_moves(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "f", "d", ["p"], [], None, True, False)], tables.PARAGRAPH)
+    tables.write_notes(rows, str(tmp_path / "n"))
+    assert tables.read_notes(spark, str(tmp_path / "n")).collect() == rows.collect()
+    (tmp_path / "a.json").write_text('[{"source": "x", "final": "y", "problems": ["q"]}, {"source": "z"}]')
+    assert [(r.source, r.final, r.problems) for r in tables.read_notes(spark, str(tmp_path / "a.json")).collect()] == [("x", "y", ["q"]), ("z", None, None)]
+    assert tables.read_notes(spark, str(tmp_path / "missing")).count() == 0
+    assert tables.moved(spark, str(tmp_path / "missing"), str(tmp_path / "b")) is None
+    assert tables.moved(spark, str(tmp_path / "n"), str(tmp_path / "b")) == str(tmp_path / "b") and tables.read_notes(spark, str(tmp_path / "b")).count() == 1
+
+
+def test_unicode_spaces_and_digits(spark):
+    text = "one\u00a0two\u2003three\x1cfour and \u0661\u0662,\u0663\u0664\u0665 or 1,234,567 and 1,0245 {\u00a0v\u0661 }"
+    row = spark.createDataFrame([(text,)], "t string").select(T.english_runs(F.col("t")).alias("r"), T.numbers(F.col("t")).alias("n"), T.placeholders(F.col("t")).alias("p"), T.strip(F.lit("\x1d\u3000a\x85")).alias("s")).first()
+    assert row.r == ["one\u00a0two\u2003three\x1cfour and"] and row.n == ["\u0661\u0662\u0663\u0664\u0665", "1234567", "1,0245"] and row.p == ["{v\u0661}"] and row.s == "a"
+
+
+def test_improve(spark):
+    bad = GOOD.replace("300", "三百")
+    rows = spark.createDataFrame([(1, 0, SOURCE, bad, GOOD), (1, 1, SOURCE, bad, GOOD), (2, 0, SOURCE, bad, GOOD), (2, 1, SOURCE, GOOD, bad), (3, 0, SOURCE, bad, None)], "batch int, id int, source string, draft string, again string")
+    said = spark.createDataFrame([(1, 0, "fixed", ["number"], GOOD)], "batch int, id int, verdict string, problems array<string>, output string")
+    by = lambda df: {(r.batch, r.id): (r.final == GOOD, r.problems) for r in df.collect()}
+    got = by(decisions.improve(rows, "full", said))
+    assert got[1, 0] == (True, ["number"]) and got[1, 1] == (False, []) and got[2, 0] == (True, ["numbers:300"]) and got[2, 1] == (True, []) and got[3, 0] == (False, [])
+    assert by(decisions.improve(rows, "rules"))[1, 1] == (True, ["numbers:300"]) and by(decisions.improve(rows.drop("again"), "rules"))[1, 1] == (False, [])
+    assert by(decisions.improve(rows, "off", said))[1, 0] == (False, []) and decisions.notes_of(decisions.improve(rows, "off")).columns == ["k", "source", "draft", "final", "problems"]
+    with pytest.raises(ValueError, match="no such mode"):
+        decisions.improve(rows, "some")
+
+
+def test_pages_that_cannot_be_translated(spark):
+    one = lambda spec, n, locked: spark.createDataFrame([(spec, n, locked)], "s string, n int, e boolean").select(ranges.pages_to_translate(F.col("s"), F.col("n"), F.col("e")).alias("p")).first().p
+    assert one("2-", 3, False) == [1, 2]
+    for args in (("1", 3, True), ("11-12", 10, False), ("a", 3, False)):
+        with pytest.raises(Exception, match="can't translate"):
+            one(*args)
 
 
 def test_output_names():
@@ -141,23 +186,58 @@ def test_retries():
         return "ok"
 
     assert translate.with_retries(flaky, "x", sleep=lambda s: None) == "ok" and len(calls) == 3
+    waits = []
     with pytest.raises(RuntimeError, match="google"):
-        translate.with_retries(lambda t: 1 / 0, "x", sleep=lambda s: None, engine="google")
+        translate.with_retries(lambda t: 1 / 0, "x", sleep=waits.append, engine="google")
+    assert waits == [1, 2, 4]
+    with pytest.raises(RuntimeError, match="llm"):
+        translate.with_retries(lambda t: 1 / 0, "x", "llm", sleep=waits.append)
+    assert waits[3:] == [2, 4, 8, 16, 30]
     with pytest.raises(translate.HardError):
         translate.with_retries(lambda t: (_ for _ in ()).throw(translate.HardError("no")), "x")
 
 
-def test_translator_keeps_rows(spark):
+def test_engines(spark):
     def make():
         def call(text):
             if text == "bad":
                 raise translate.HardError("no")
+            assert len(text) <= 2000
             return text.upper()
 
         return call
 
-    got = translate.translated(spark.createDataFrame([("a",), ("bad",), (None,), (" ",)], "source string"), make).collect()
-    assert [(r.draft, r.error) for r in got] == [("A", None), (None, "no"), (None, None), (" ", None)]
+    engine = translate.register("google", make)
+    assert translate.engine_of("google") is engine and engine.limit == 2000 and translate.register("other", make).limit == 4000
+    assert translate.register("llm", make).limit is None and translate.engine_of("llm").kind == "llm"
+    with pytest.raises(ValueError, match="no such engine"):
+        translate.engine_of("none")
+    long = " ".join(f"This is sentence number {k}." for k in range(300))
+    rows = spark.createDataFrame([("a",), ("bad",), (None,), (" ",), (long,)], "source string")
+    got = translate.translated(rows, engine).collect()
+    assert [(r.draft, r.error) for r in got[:4]] == [("A", None), (None, "no"), (None, None), (" ", None)]
+    assert got[4].error is None and got[4].draft.replace(" ", "") == long.upper().replace(" ", "")
+    assert translate.exit_status(translate.translated(rows, engine)) == 1 and translate.exit_status(translate.translated(rows.limit(1), engine, per_second=100, workers=2)) == 0
+
+
+def test_preflight():
+    calls = []
+
+    def made(fails):
+        def call(text):
+            calls.append(text)
+            if fails:
+                raise OSError("no key")
+            return text
+
+        return lambda: call
+
+    good, wrong = translate.Engine("llm", made(False), kind="llm"), translate.Engine("reviewer", made(True), kind="llm")
+    translate.preflight(good, good)
+    assert len(calls) == 1
+    with pytest.raises(RuntimeError, match="no connection to reviewer"):
+        translate.preflight(good, wrong)
+    assert len(calls) == 3  # a probe isn't repeated
 
 
 def test_stream_resumes(spark, tmp_path):
@@ -175,6 +255,8 @@ def test_batches_are_keyed_by_their_pages(spark):
     a = resume.batches(spark.createDataFrame([("d", p) for p in range(3)], "doc string, page int"), "doc")
     b = resume.batches(spark.createDataFrame([("d", p) for p in range(9, 12)], "doc string, page int"), "doc")
     assert resume.todo(b, a, "doc").count() == 3 and resume.todo(a, a, "doc").count() == 0
+    now, old = a.withColumn("signature", F.lit("new")), a.withColumn("signature", F.lit("old"))
+    assert resume.todo(now, old, "doc").count() == 3 and resume.todo(now, now, "doc").count() == 0
 
 
 def test_viewer(spark):
