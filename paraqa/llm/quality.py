@@ -3,8 +3,10 @@
 Each text's signals are counted in one pass. Their distributions in every language and source are kept as log-linear
 quantile sketches: bins of whole numbers, 16 to an octave, hence within 6 % of the true quantile, and sketches merge by
 adding counts. The sketches of a source and language are merged from those of all tasks; a group is judged by its own
-sketch, whatever its size. Limits are fences above (or below) the middle half of a group's own
-distribution; a document is kept if no signal is beyond its group's limits and the base rules hold.
+sketch, whatever its size. A limit is a rate: the fence above (or below) the middle half of the group's own distribution.
+There is no cutoff that all groups share. A document's count may differ from what the limit makes of its length by what
+chance makes of a count: so many standard deviations of events that come at that rate (see inside()), which matters in short
+documents and in groups that have next to no events. A document is kept if no signal is beyond and the base rules hold.
 
 Nulls: a null text has no words and fails the base rules; null lang and source are groups of their own. Repeated rows are
 counted as they come, an empty table gives an empty result, other columns pass through filter_documents() untouched.
@@ -26,12 +28,13 @@ from .common import as_bytes, batch, documents, staged
 LEAST_WORDS, WINDOW, MOST_REPEAT = 10, 5, 20
 SYMBOLS = b"#*$%&|<>"
 
-#: Signal: which side is fenced, and the slack in parts per thousand that a limit always leaves beyond the quartile.
-#: Slack is what keeps a group whose documents are all alike from losing those that differ a little; for repeats it is below what
-#: the base rule lets pass (200), or its fence could never bind.
-SIGNALS = {"symbols": ("high", 100), "dup_lines": ("high", 400), "repeats": ("high", 50), "long_words": ("high", 4000), "short_words": ("low", 1500)}
-#: A fence stands so many times the distance between the quartiles beyond the quartile.
-FENCE = 6
+#: Signals by count: the column, what it is counted in, and the size of one event (a repeated window is found twice, so it
+#: makes at least 2 * WINDOW words). Signals by the mean length of words: the side that is fenced.
+COUNTED = {"symbols": ("n_symbols", "n_words", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 2 * WINDOW)}
+LENGTHS = {"long_words": "high", "short_words": "low"}
+SIGNALS = (*COUNTED, *LENGTHS)
+#: A fence stands so many times the distance between the quartiles beyond the quartile; standard deviations that chance gets.
+FENCE, DEVIATIONS = 3, 6
 
 COUNTS = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("n_lines", pa.int64())])
 
@@ -89,7 +92,7 @@ def base_failed() -> Column:
 def scaled() -> dict[str, Column]:
     """The signals as whole numbers: parts per thousand of words or lines, word lengths in thousandths."""
     per = lambda a, b: F.expr(f"(1000 * {a}) div greatest({b}, 1)")
-    return {"symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"), "long_words": per("word_chars", "n_words"), "short_words": per("word_chars", "n_words")}
+    return {k: per(a, b) for k, (a, b, _) in COUNTED.items()} | {"length": per("word_chars", "n_words")}
 
 
 def bin_of(value: Column) -> Column:
@@ -118,20 +121,30 @@ def quantiles(cells: DataFrame, *by: str) -> DataFrame:
 
 
 def limits(rows: DataFrame) -> DataFrame:
-    """lang, source, and a struct of limits, one for each signal, from the group's own sketch. rows are those the base rules kept."""
+    """lang, source, and a limit for each signal (thousandths) from the group's own sketch, and the third quartile of the mean
+    word length. rows are those the base rules kept."""
     rows = quantiles(staged(sketch(rows, "lang", "source"), "quality-sketch"), "lang", "source")
     spread = FENCE * (F.col("q3") - F.col("q1"))
-    slack = F.element_at(F.create_map(*(F.lit(x) for k, (_, s) in SIGNALS.items() for x in (k, s))), F.col("signal"))
-    high, low = F.col("q3") + F.greatest(spread, slack), F.col("q1") - F.greatest(spread, slack)
-    ends = [F.max(F.when(F.col("signal") == k, high if side == "high" else low)).alias(f"limit_{k}") for k, (side, _) in SIGNALS.items()]
-    return rows.groupBy("lang", "source").agg(*ends)
+    end = lambda signal, value, name: F.max(F.when(F.col("signal") == signal, value)).alias(name)
+    high, low = F.col("q3") + spread, F.col("q1") - spread
+    ends = [end(k, high, f"limit_{k}") for k in COUNTED] + [end("length", high if side == "high" else low, f"limit_{k}") for k, side in LENGTHS.items()]
+    return rows.groupBy("lang", "source").agg(*ends, end("length", F.col("q3"), "typical_length"))
 
 
 def inside() -> Column:
-    """Whether all signals are within the limits."""
+    """Whether all signals are within the limits and what chance adds.
+
+    Events of size u at a limit's rate make a count of e on the average, with a deviation of sqrt(u * e); DEVIATIONS of these
+    and as many events are chance. Lengths of words deviate by about half their mean, means of n words by that over sqrt(n).
+    """
     within = F.lit(True)
-    for k, (side, _) in SIGNALS.items():
-        within &= scaled()[k] <= F.col(f"limit_{k}") if side == "high" else scaled()[k] >= F.col(f"limit_{k}")
+    for k, (count, of, event) in COUNTED.items():
+        expected = F.col(f"limit_{k}") * F.col(of) / 1000
+        within &= F.col(count) <= expected + DEVIATIONS * (F.sqrt(event * expected) + event)
+    chance = DEVIATIONS * F.col("typical_length") / 2 / F.sqrt(F.greatest("n_words", F.lit(1)))
+    for k, side in LENGTHS.items():
+        length = scaled()["length"]
+        within &= length <= F.col(f"limit_{k}") + chance if side == "high" else length >= F.col(f"limit_{k}") - chance
     return within
 
 

@@ -37,11 +37,11 @@ def test_small_groups_reject_their_outlier(spark):
 def test_each_signal_rejects_its_outlier(spark):
     rng = random.Random(4)
     lines = lambda: "\n".join(prose(rng, 8) for _ in range(10))
-    window = prose(rng, 5)
+    again = prose(rng, 40)  # a passage that stands there twice, in a text of 500 words
     outliers = {
         "symbols": lines().replace(" ", "## "),
         "dup_lines": "\nx\n".join(lines().split("\n")) + "\nx",
-        "repeats": f"{lines()} {window} {lines()[:60]} {window}",
+        "repeats": f"{prose(rng, 210)} {again} {prose(rng, 210)} {again}",
         "long_words": " ".join("".join(rng.choices("abcdefgh", k=30)) for _ in range(80)),
         "short_words": " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80)),
     }
@@ -51,3 +51,77 @@ def test_each_signal_rejects_its_outlier(spark):
     got = {r.doc_id: r for r in quality.judge(df).collect()}
     assert not any(r.base_failed for r in got.values())
     assert {k for k, r in got.items() if r.kept} == set(range(250))
+
+
+def low(v):
+    """The least value of v's bin: itself below 32, then 16 to an octave."""
+    shift = max(0, v.bit_length() - 5)
+    return v >> shift << shift
+
+
+def brute_kept(rows):
+    """Decisions by exact quantiles, rounded as the sketch rounds."""
+    import math
+
+    from tests.llm.test_llm import brute_signals
+
+    out, groups = {}, {}
+    for k, (text, lang, source) in enumerate(rows):
+        n, chars, symbols, dups, repeats = brute_signals(text)
+        n_lines = sum(bool(x.strip(" \t\n\r\x0b\x0c")) for x in (text or "").split("\n"))
+        out[k] = False
+        if n >= 10 and 100 * repeats <= 20 * n:
+            groups.setdefault((lang, source), []).append((k, n, n_lines, symbols, dups, repeats, chars))
+    for members in groups.values():
+        at = lambda values, q: sorted(map(low, values))[math.ceil(q * len(values)) - 1]
+        for k, *_ in members:
+            out[k] = True
+        for col, of, event in ((3, 1, 1), (4, 2, 1), (5, 1, 10)):
+            q1, q3 = (at([1000 * m[col] // max(m[of], 1) for m in members], q) for q in (0.25, 0.75))
+            for m in members:
+                e = (q3 + 3 * (q3 - q1)) * m[of] / 1000
+                out[m[0]] &= m[col] <= e + 6 * (math.sqrt(event * e) + event)
+        q1, q3 = (at([1000 * m[6] // m[1] for m in members], q) for q in (0.25, 0.75))
+        for m in members:
+            length, chance = 1000 * m[6] // m[1], 6 * q3 / 2 / math.sqrt(m[1])
+            out[m[0]] &= q1 - 3 * (q3 - q1) - chance <= length <= q3 + 3 * (q3 - q1) + chance
+    return {k for k, v in out.items() if v}
+
+
+def test_decisions_against_exact_quantiles(spark):
+    rng = random.Random(8)
+    rows = []
+    for source, rate in (("calm", 0.01), ("loud", 0.1), (None, 0.3)):
+        for lang in ("en", None):
+            for _ in range(rng.choice([7, 60])):
+                words = prose(rng, rng.randint(5, 300)).split()
+                words = [w + ("#" if rng.random() < rate * rng.choice([0.5, 1, 1, 1, 9]) else "") for w in words]
+                text = " ".join(words).replace(" b", "\nb")
+                rows.append((text + (" " + text[: rng.randint(0, 150)] if rng.random() < 0.2 else "") + "\nend" * rng.choice([0, 0, 0, 12]), lang, source))
+    rows += [(None, "en", "calm"), ("", None, None), *rows[:5]]
+    want = brute_kept(rows)
+    assert kept(spark, rows) == want and 0 < len(want) < len(rows) - 10
+
+
+def test_limits_follow_the_rates_of_their_source(spark):
+    rng = random.Random(5)
+    marked = lambda rate: " ".join(w + ("#" if rng.random() < rate else "") for w in prose(rng, 400).split())
+    rows = [(marked(0.02), "en", "calm") for _ in range(60)] + [(marked(0.2), "en", "loud") for _ in range(60)]
+    rows += [(marked(0.2), "en", "calm"), (marked(0.9), "en", "loud")]
+    assert kept(spark, rows) == set(range(120))
+    df = spark.createDataFrame([(k, *r, 1) for k, r in enumerate(rows)], DOCS)
+    limits = {r.source: r.limit_symbols for r in quality.judge(df).select("source", "limit_symbols").distinct().collect()}
+    assert limits["loud"] > 4 * limits["calm"] > 0
+
+
+def test_planted_junk_and_clean_documents():
+    """By the labels of a test table: nearly all junk is caught, hardly any clean document that the base rules keep goes."""
+    import duckdb
+
+    docs = duckdb.sql("select doc_id, text, lang, source from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()
+    good = dict(duckdb.sql("select doc_id, min(quality) from '/root/testdata/sf0.01/labels.parquet' group by 1").fetchall())
+    left = brute_kept([r[1:] for r in docs])
+    base = {k for k, r in enumerate(docs) if quality.signals((r[1] or "").encode())[0] >= 10 and 5 * quality.signals((r[1] or "").encode())[4] <= quality.signals((r[1] or "").encode())[0]}
+    clean = [k for k in base if good.get(docs[k][0]) == 1]
+    junk = [k for k, r in enumerate(docs) if good.get(r[0]) == 0]
+    assert sum(k in left for k in clean) >= 0.99 * len(clean) and sum(k not in left for k in junk) >= 0.9 * len(junk)
