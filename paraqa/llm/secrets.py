@@ -2,7 +2,7 @@
 
 Each text is layer 0. A layer is scanned, then decoded: the whole layer with its percent escapes, and with its Unicode or hex
 escapes, undone in place, so what crosses a blank or a line stays together; base64 runs, also those wrapped over single line
-breaks; and what base64 gives, inflated if it is gzip, zlib, raw deflate, bz2, xz, lzma or zstandard. Bytes that are no UTF-8 become U+FFFD, control characters stay, and ASCII in
+breaks; and what base64 gives, inflated if it is gzip, zlib, raw deflate, bz2, xz, lzma or zstandard, as often as that gives such bytes again. Bytes that are no UTF-8 become U+FFFD, control characters stay, and ASCII in
 UTF-16 is a text too, so a bad byte hides nothing beside it. Each decoded text is a new layer on the worklist, with the place in the text of every one of its characters; a layer that this document has had already is not
 entered again, which ends cycles. The worklist is empty at the fixpoint. A finding in a layer covers the span of the text
 from which its characters come; a passage that was compressed can only be mapped as a whole.
@@ -14,14 +14,12 @@ empty table gives an empty result. Only doc_id and text are read, so other colum
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
-import io
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -39,7 +37,7 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 
 #: Encoded passages: escapes, and runs of 16 base64 characters at least, in one line or over line breaks.
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPES = re.compile(r"\\(?:u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]{1,6})\}|x([0-9a-fA-F]{2}))")
+ESCAPES = re.compile(r"\\(?:u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]{1,6})\}|x([0-9a-fA-F]{2})|U([0-9a-fA-F]{8}))")
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
 PART = re.compile(r"[A-Za-z0-9]{16,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
@@ -53,8 +51,13 @@ HIGH, LOW, PAST = 0xD800, 0xDC00, 0xE000  # surrogates
 #: crosses a border is found in the overlap; only encoded passages over OVERLAP bytes within may be cut there. `capped` counts
 #: the windows after the first.
 WINDOW, OVERLAP, PIECE = 1 << 22, 1 << 20, 1 << 18
+#: Levels of compression are told apart by so many bytes at their beginning.
+HEAD = 1 << 12
+#: Compressed bytes are read so many at a time.
+READ = 1 << 14
 #: First bytes of the formats.
 GZIP, BZIP, XZ, LZMA, ZSTD = b"\x1f\x8b", b"BZh", b"\xfd7zXZ\0", b"\x5d\0\0", b"\x28\xb5\x2f\xfd"
+EMBEDDED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 DAMAGED = (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError)
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_layers", pa.int32()), ("depth", pa.int32()), ("capped", pa.int32())])
@@ -137,7 +140,7 @@ def _escapes(layer: Layer) -> Found | None:
     def parts():
         high = None  # the first half of a pair, which waits for the second
         for m in ESCAPES.finditer(layer.text):
-            code, start = int(m[1] or m[2] or m[3], 16), m.start()
+            code, start = int(m[1] or m[2] or m[3] or m[4], 16), m.start()
             if high and high[1] == start and LOW <= code < PAST:
                 code, start = 0x10000 + ((high[2] - HIGH) << 10) + code - LOW, high[0]
             elif high:
@@ -200,36 +203,70 @@ def _wrapped(chain: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
         i = j
 
 
-def _deflated(data: bytes, bits: int) -> Iterator[bytes]:
-    while data:
-        one, rest = zlib.decompressobj(bits), data
-        while not one.eof:
-            got = one.decompress(rest, PIECE)
-            rest = one.unconsumed_tail
-            if not got and not rest:
-                return
-            yield got
-        data = one.unused_data if one.unused_data[:2] == GZIP else b""  # gzip has members
+def _deflated(chunks: Iterator[bytes], bits: int) -> Iterator[bytes]:
+    one = zlib.decompressobj(bits)
+    for data in chunks:
+        while True:
+            if one.eof:
+                if bits != 31 or data[:1] != GZIP[:1]:  # gzip has members
+                    return
+                one = zlib.decompressobj(bits)
+            got = one.decompress(data, PIECE)
+            data = one.unused_data if one.eof else one.unconsumed_tail
+            if got:
+                yield got
+            if not data and len(got) < PIECE:
+                break
 
 
-def _members(make, data: bytes) -> Iterator[bytes]:
+def _members(make, chunks: Iterator[bytes]) -> Iterator[bytes]:
     """What bz2 and lzma give, member after member."""
-    while data:
-        one, rest = make(), data
-        while not one.eof:
-            yield (got := one.decompress(rest, PIECE))
-            rest = b""
-            if not got and one.needs_input:
-                return
-        data = one.unused_data
-
-
-def _zstd(data: bytes) -> Iterator[bytes]:
-    with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(io.BytesIO(data), read_across_frames=True) as f:
+    one = make()
+    for data in chunks:
+        while True:
+            if one.eof:
+                one = make()
+            if got := one.decompress(data, PIECE):
+                yield got
+            data = one.unused_data if one.eof else b""
+            if not data and (one.eof or one.needs_input):
+                break
+
+
+class _Source:
+    """Chunks as something to read from."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, b""
+
+    def read(self, n: int) -> bytes:
+        if not self.held:
+            self.held = next(self.chunks, b"")
+        got, self.held = self.held[:n], self.held[n:]
+        return got
+
+
+def _zstd(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(_Source(chunks), read_across_frames=True) as f:
         while got := f.read(PIECE):
             yield got
 
 
+def _format(head: bytes) -> Callable[[Iterator[bytes]], Iterator[bytes]] | None:
+    """How bytes that begin so are inflated."""
+    if head[:2] == GZIP:
+        return partial(_deflated, bits=31)
+    if head[:3] == BZIP:
+        return partial(_members, bz2.BZ2Decompressor)
+    if head[:6] == XZ or head[:3] == LZMA:
+        return partial(_members, partial(lzma.LZMADecompressor, memlimit=1 << 28))
+    if head[:4] == ZSTD:
+        return _zstd
+    if head[:1] == b"\x78" and len(head) > 5 and (head[0] << 8 | head[1]) % 31 == 0:
+        return partial(_deflated, bits=15)
+    return None
+
+
 def _windows(stream: Iterator[bytes]) -> Iterator[bytes]:
     """All that a stream gives, up to where it is damaged, in windows that overlap."""
     held, n = bytearray(), 0
@@ -246,19 +283,51 @@ def _windows(stream: Iterator[bytes]) -> Iterator[bytes]:
         yield bytes(held)
 
 
-def _inflated(data: bytes) -> Iterator[bytes]:
-    """Windows of what some bytes give if they are compressed."""
-    if data[:2] == GZIP:
-        return _windows(_deflated(data, 31))
-    if data[:3] == BZIP:
-        return _windows(_members(bz2.BZ2Decompressor, data))
-    if data[:6] == XZ or data[:3] == LZMA:
-        return _windows(_members(partial(lzma.LZMADecompressor, memlimit=1 << 28), data))
-    if data[:4] == ZSTD:
-        return _windows(_zstd(data))
-    if data[:1] == b"\x78" and len(data) > 5 and (data[0] << 8 | data[1]) % 31 == 0:
-        return _windows(_deflated(data, 15))
-    return _windows(_deflated(data, -15))
+class _Chunks:
+    """Bytes from a place on, a few at a time; `at` is how far they were read."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = memoryview(data), at
+
+    def __iter__(self) -> Iterator[bytes]:
+        while self.at < len(self.data):
+            got = bytes(self.data[self.at : self.at + READ])
+            self.at += READ
+            yield got
+
+
+def _starts(data: bytes, bare: bool) -> Iterator[tuple[int, Callable]]:
+    """Where a compressed stream may begin: at the first byte, of any format (bare: without a header too), and wherever the
+    first bytes of one stand."""
+    if make := _format(data[:HEAD]) or (partial(_deflated, bits=-15) if bare else None):
+        yield 0, make
+    for m in EMBEDDED.finditer(data, 1):
+        yield m.start(), _format(data[m.start() : m.start() + 16])
+
+
+def _inflated(data: bytes, bare: bool) -> Iterator[tuple[bytes, bool]]:
+    """Windows of what some bytes give if they are compressed, and of what that gives if it is compressed again, and so on;
+    True for windows after the first. Each level is streamed from the bytes anew, so memory holds a window and not a level.
+    A level that begins like one before ends it: nothing new can come."""
+    done = 0
+    for start, make in _starts(data, bare):
+        if start < done:
+            continue
+        chain, seen = [], {data[start : start + HEAD]}
+        while make:
+            chain.append(make)
+            chunks = _Chunks(data, start)
+            stream: Iterator[bytes] = iter(chunks)
+            for step in chain:
+                stream = step(stream)
+            head = b""
+            for k, window in enumerate(_windows(stream)):
+                head = head or window[:HEAD]
+                yield window, k > 0
+            if head and len(chain) == 1 and _format(data[start : start + HEAD]):
+                done = chunks.at - READ  # what stands within the stream isn't looked at as another one
+            make = None if not head or head in seen else _format(head)
+            seen.add(head)
 
 
 def _texts(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
@@ -269,20 +338,22 @@ def _texts(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
 
 
 def _base64(layer: Layer, run: str, places: np.ndarray) -> Iterator[tuple[Found, bool]]:
-    """What a run of base64 characters at these places gives, and whether it is a window after the first."""
-    run = run.rstrip("=")
-    run = run[: len(run) - (len(run) % 4 == 1)]
-    try:
-        data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    own = places[: len(run)]
-    for k, window in enumerate(_inflated(data)):  # one span for all of it
-        for text, _ in _texts(window):
-            yield (text, np.broadcast_to(layer.first(own).min(), len(text)), np.broadcast_to(layer.last(own).max(), len(text))), k > 0
-    for text, edges in _texts(data):
-        # byte k holds bits of the characters 8k // 6 to (8k + 7) // 6
-        yield (text, layer.first(places[8 * edges[:-1] // 6]), layer.last(places[(8 * edges[1:] - 1) // 6])), False
+    """What a run of base64 characters at these places gives, and whether it is a window after the first. A word may stand
+    before it without a blank, so all four places where its groups can begin are tried."""
+    whole = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for phase in range(4):
+        run = whole[phase:]
+        run = run[: len(run) - (len(run) % 4 == 1)]
+        if len(run) < 16:
+            return
+        data = base64.b64decode(run + "=" * (-len(run) % 4))
+        own = places[phase : phase + len(run)]
+        for window, later in _inflated(data, not phase):  # one span for all of it
+            for text, _ in _texts(window):
+                yield (text, np.broadcast_to(layer.first(own).min(), len(text)), np.broadcast_to(layer.last(own).max(), len(text))), later
+        for text, edges in _texts(data):
+            # byte k holds bits of the characters 8k // 6 to (8k + 7) // 6
+            yield (text, layer.first(own[8 * edges[:-1] // 6]), layer.last(own[(8 * edges[1:] - 1) // 6])), False
 
 
 def _next(layer: Layer) -> Iterator[tuple[Found | None, bool]]:

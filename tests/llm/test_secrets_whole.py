@@ -93,3 +93,101 @@ def test_all_formats_are_inflated_whole(pack, monkeypatch):
 def test_secret_beyond_64_megabytes():
     coded = base64.b64encode(gzip.compress(b"\0" * (66 << 20) + ACCESS.encode())).decode()
     assert {k for k, _ in found(f"see {coded} ok")} == {"access"}
+
+
+PACKS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+
+
+@pytest.mark.parametrize("outer", PACKS)
+@pytest.mark.parametrize("inner", PACKS)
+def test_compressed_twice(outer, inner):
+    coded = base64.b64encode(outer(inner(f"so {ACCESS} it is".encode()))).decode()
+    assert ("access", coded.rstrip("=")) in found(f"see {coded}.")  # small zstandard frames may hold it as it is, too
+
+
+@pytest.mark.parametrize("lead", ["", "w", "wo", "wor", "word", "words"])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress])
+def test_words_glued_to_base64(lead, pack):
+    coded = base64.b64encode(pack(f"the key is {ACCESS} and no other".encode())).decode()
+    assert any(k == "access" for k, _ in found(f"see {lead}{coded}"))
+
+
+def test_long_unicode_escapes():
+    text = "".join(f"{chr(92)}U{ord(c):08x}" for c in ACCESS)
+    assert found(text) == {("access", text)}
+
+
+def test_streams_that_end_early_and_levels_that_repeat():
+    rng = random.Random(3)
+    data = f"{ACCESS} " + " ".join(str(rng.random()) for _ in range(500))
+    for pack in (gzip.compress, zlib.compress):
+        assert any(k == "access" for k, _ in found(base64.b64encode(pack(data.encode())[:-60]).decode()))
+    assert list(secrets._inflated(gzip.compress(b""), True)) == []
+
+
+def test_bombs_are_inflated_in_little_memory():
+    import tracemalloc
+
+    bomb = zlib.compress(gzip.compress(b"\0" * (60 << 20) + f" {ACCESS} ".encode()), 9)
+    text = "x " + base64.b64encode(bomb).decode()
+    tracemalloc.start()
+    assert any(k == "access" for k, _ in found(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def plain_worklist(text):
+    """Texts at the fixpoint, by another way: strings only, no places."""
+    import re
+    import urllib.parse
+
+    seen, todo = {text}, [text]
+    while todo:
+        now = todo.pop()
+        new = [urllib.parse.unquote(now, errors="replace"), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), now)]
+        for run in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", now):
+            try:
+                data = base64.b64decode(run + "=" * (-len(run) % 4))
+            except ValueError:
+                continue
+            while True:
+                new.append(data.decode("utf-8", "replace"))
+                for unpack in (gzip.decompress, zlib.decompress, bz2.decompress):
+                    try:
+                        data = unpack(data)
+                        break
+                    except (OSError, EOFError, ValueError, zlib.error):
+                        continue
+                else:
+                    break
+        todo += [t for t in new if t not in seen]
+        seen.update(new)
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_nestings_against_a_plain_worklist(seed):
+    import urllib.parse
+
+    rng = random.Random(seed)
+    b64 = lambda x: base64.b64encode(x).decode()
+    steps = [
+        lambda t: f"q {urllib.parse.quote(t, safe='').replace('A', '%41')} r",
+        lambda t: "".join(f"{chr(92)}u{ord(c):04x}" if rng.random() < 0.5 else c for c in t),
+        lambda t: f"k: {b64(t.encode())} .",
+        lambda t: f"g {b64(gzip.compress(t.encode()))} h",
+        lambda t: f"z {b64(bz2.compress(zlib.compress(t.encode())))}, y",
+    ]
+    keys = ["AKIA" + "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=16)) for _ in range(2)]
+    text = f"one {keys[0]} two"
+    for _ in range(rng.randint(1, 4)):
+        text = rng.choice(steps)(text)
+    text = f"start {text} then {keys[1]} end"
+    want = {k for k in keys if any(k in t for t in plain_worklist(text))}
+    assert want == set(keys)
+    base, spans, *_ = secrets.scan(text)
+    assert (text.index(keys[1]), 1, text.index(keys[1]) + 20) in base
+    got = {layer.text[a:z] for layer, _ in secrets.layers(text) for a, k, z in secrets.base_spans(layer.text) if k == 1}
+    assert want <= got and len([s for s in spans if s[1] == 1]) >= 2
+    assert all(0 <= a < z <= len(text) for a, _, z in spans)
