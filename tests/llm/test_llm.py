@@ -169,11 +169,42 @@ def test_mixing_keeps_expectations(spark):
     assert abs(np.mean([r.copies for run in runs for r in run]) - share) < 0.03
 
 
+def test_mixing_keeps_expectations_in_small_sources(spark):
+    """One block is all the source has, and one document outweighs the others."""
+    sizes = [400, 90, 60, 33, 21, 10, 9, 8, 8, 5, 5, 3, 2, 1, 1, 1]
+    rows = [(100 * n + k, "w " * size, "en", f"s{n:03}", 1) for n in range(300) for k, size in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), weights=(2, 3)).collect()
+    for share in {round(r.target / r.source_size, 6) for r in got}:
+        mine = [r for r in got if round(r.target / r.source_size, 6) == share]
+        for k, size in enumerate(sizes):
+            copies = [r.copies for r in mine if r.doc_id % 100 == k]
+            assert len(copies) == 150 and abs(np.mean(copies) - share) < 0.2, (share, size)
+        taken = Counter()
+        for r in mine:
+            taken[r.source] += r.taken
+        assert all(abs(t - mine[0].target) <= max(sizes) for t in taken.values())
+
+
+def test_mixing_many_rows_alike(spark):
+    rows = [(None, "a b c", "en", "x", 1)] * 3000 + [(7, "a b", "en", "x", 1)] * 50 + [(8, "a " * 3100, "en", "y", 1)] * 2
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(df, block=16).collect()
+    assert len(got) == len(rows) and len({r.copies for r in got if r.doc_id is None}) == 2
+    assert sum(r.taken for r in got if r.source == "x") == pytest.approx(got[0].target if got[0].source == "x" else next(r.target for r in got if r.source == "x"), abs=3)
+
+
 def test_mixing_repeats_rows(spark, texts):
-    df = with_repeats(table(spark, texts, extra=True))
+    names = ["_id", "_source", "_size", "_at", "_each", "_k", "size", "row", "copies", "rows", "id", "each", "at", "k"]
+    plain = with_repeats(table(spark, texts))
+    df = plain.withColumns({n: F.concat(F.lit(f"mine {n} "), F.coalesce("doc_id", F.lit(-1))) for n in names})
     mixed = mixing.mix(df)
     out = mixing.taken(df, mixed)
     assert out.columns == df.columns and out.count() == mixed.agg(F.sum("copies")).first()[0]
+    assert set(map(tuple, out.collect())) <= set(map(tuple, df.collect()))
+    want = Counter()
+    for r in mixed.collect():
+        want[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in out.collect()) == +want
 
 
 # --- 4
