@@ -1,12 +1,17 @@
 """Quality and toxicity by co-training.
 
 Two views of a document: its text (the set of its words, the marks around them, how often words repeat at once) and its
-page's metadata (language, source, length). A logistic classifier for each view is fitted on labelled documents. In each
-round both views score all documents without a label, in one distributed pass; a view's most confident ones become
-pseudo-labelled examples for the other view. In the end both views are calibrated on labelled documents that were never
-fitted on, their log odds are added less those of the prior, and all documents are scored.
-
-Fitting is on bounded samples, the documented parameters LABELLED and EXCHANGED; scoring covers every document.
+page's metadata (language, source, length, number and length of lines, shares of capitals, digits, punctuation, symbols and
+other scripts; no words). A logistic classifier for each view is fitted on labelled documents and calibrated on others that
+were never fitted on. In each round both views score all documents without a label, in one distributed pass; the EXCHANGED
+documents of each class that a view is surest of (no more than the class has labels), by rank and whatever its level, become
+pseudo-labelled examples for the other view. These count as much as their calibrated probability is away from even odds, times the view's skill: the share
+of the uncertainty about held-out rows that it takes away, so a view that knows nothing of a target teaches nothing. In the end both views' log odds
+are added less those of the prior, and all documents are scored. The corpus is read once for the labels, once a round and
+once for the scores; what a round's candidates need for the fit comes with them.
+
+Fitting is on bounded samples, the documented parameters LABELLED, EXCHANGED and MOST_FEATURES; scoring covers every
+document and all its features.
 
 Nulls: a null text is empty, null metadata is a value of its own, a null doc_id has no label. Several labels of a document
 count as the worst one (least quality, most toxic); null labels are none. Repeated rows are scored one by one. Without
@@ -32,8 +37,10 @@ from .common import as_bytes, batch, documents, staged
 TARGETS = ("quality", "toxic")
 #: At most so many labelled documents, chosen by hash; one in HELD of them is kept for calibration.
 LABELLED, HELD = 12_000, 4
-#: Rounds, and pseudo-labels a round, view, target and class: the most confident ones beyond SURE.
-ROUNDS, EXCHANGED, SURE = 2, 250, 0.98
+#: Rounds, and pseudo-labels a round, view, target and class: the most confident ones.
+ROUNDS, EXCHANGED = 2, 250
+#: Features of a document that takes part in a fit: those of the least numbers, which are hashes.
+MOST_FEATURES = 4096
 #: Hashed features of a view; features that a fit may use, and how far in standard errors its classes must differ there.
 DIMENSIONS, MOST_USED, LEAST_Z, LEAST_DOCS = 1 << 20, 3000, 3.0, 3
 #: Distinct words whose features a worker keeps at hand; beyond, it starts anew.
@@ -75,24 +82,38 @@ class TextView:
 _VIEW = TextView()  # one for each worker process: later tasks find the words of earlier ones
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    return np.array([feature("lang", repr(lang).encode()), feature("source", repr(source).encode()), feature("chars", b"%d" % (n_chars or 0).bit_length() if n_chars is not None else b"none")], np.int32)
+#: Kinds of bytes that the metadata view counts.
+KINDS = {"lines": b"\n", "capitals": bytes(range(65, 91)), "digits": bytes(range(48, 58)), "punctuation": b".,;:!?'\"()-", "symbols": b"#*$%&|<>@[]{}=+_/\\^~`", "scripts": bytes(range(128, 256))}
+
+
+def meta_features(lang: str | None, source: str | None, n_chars: int | None, raw: bytes) -> np.ndarray:
+    """Shares are taken by powers of two of a thousandth."""
+    found = [feature("lang", repr(lang).encode()), feature("source", repr(source).encode()), feature("chars", b"%d" % n_chars.bit_length() if n_chars is not None else b"none")]
+    size = max(1, len(raw))
+    for kind, those in KINDS.items():
+        n = len(raw) - len(raw.translate(None, those))
+        found.append(feature(kind, b"%d" % (1000 * n // size).bit_length()))
+        if kind == "lines":
+            found += [feature("n_lines", b"%d" % n.bit_length()), feature("line", b"%d" % (size // (n + 1)).bit_length())]
+    return np.array(found, np.int32)
 
 
 class Fit:
     """Logistic regression over the features of rows (arrays of feature numbers) that tell the classes apart."""
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, steps: int = 150, l2: float = 1e-3):
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None, steps: int = 150, l2: float = 1e-3):
         self.weights, self.bias, self.scale, self.shift = np.zeros(DIMENSIONS, np.float32), 0.0, 1.0, 0.0
+        self.skill = 0.0  # share of the uncertainty about held-out rows that the view takes away
         y = np.asarray(y, np.float64)
-        n1, n0 = y.sum(), len(y) - y.sum()
+        weight = np.ones(len(y)) if weight is None else np.asarray(weight, np.float64)
+        n1, n0 = float((weight * y).sum()), float((weight * (1 - y)).sum())
         self.prior = float((n1 + 1) / (n1 + n0 + 2))
         self.bias = float(np.log(self.prior / (1 - self.prior)))
-        if not n1 or not n0:
+        if min(n1, n0) < 1e-9:
             return
         flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        with1 = np.bincount(flat, weights=y[of], minlength=DIMENSIONS)
-        with0 = np.bincount(flat, minlength=DIMENSIONS) - with1
+        with1 = np.bincount(flat, weights=(weight * y)[of], minlength=DIMENSIONS)
+        with0 = np.bincount(flat, weights=weight[of], minlength=DIMENSIONS) - with1
         p = (with1 + with0 + 1) / (n1 + n0 + 2)
         z = np.abs(with1 / n1 - with0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
         z[with1 + with0 < LEAST_DOCS] = 0
@@ -107,7 +128,8 @@ class Fit:
         w, b, gw, gb = np.zeros(len(used)), self.bias, np.full(len(used), 1e-8), 1e-8
         for _ in range(steps):  # AdaGrad
             e = 1 / (1 + np.exp(-np.clip(np.bincount(of, weights=w[col], minlength=len(y)) + b, -30, 30))) - y
-            g, h = np.bincount(col, weights=e[of], minlength=len(used)) / len(y) + l2 * w, float(e.mean())
+            e *= weight
+            g, h = np.bincount(col, weights=e[of], minlength=len(used)) / (n1 + n0) + l2 * w, float(e.sum() / (n1 + n0))
             gw, gb = gw + g * g, gb + h * h
             w, b = w - 0.5 * g / np.sqrt(gw), b - 0.5 * h / np.sqrt(gb)
         self.weights[used], self.bias = w, b
@@ -128,6 +150,9 @@ class Fit:
             step = np.linalg.solve((features * (p * (1 - p))) @ features.T + 1e-3 * np.eye(2), features @ (p - t) + 1e-3 * (a - [1.0, 0.0]))
             a = a - np.clip(step, -1, 1)
         self.scale, self.shift = float(max(a[0], 0.0)), float(a[1])
+        loss = lambda p: float(-np.mean(np.where(y > 0, np.log(p), np.log(1 - p))))
+        chance = (y.sum() + 1) / (len(y) + 2)
+        self.skill = max(0.0, 1 - loss(1 / (1 + np.exp(-np.clip(self.scale * x + self.shift, -30, 30)))) / loss(np.full(len(y), chance)))
 
     def log_odds(self, row: np.ndarray) -> float:
         return max(-30.0, min(30.0, self.scale * self.raw(row) + self.shift))
@@ -157,7 +182,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _features(b: pa.RecordBatch, view: TextView) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     metas = zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("n_chars").to_pylist(), strict=True)
     for k, (text, meta) in enumerate(zip(b.column("text"), metas, strict=True)):
-        yield k, view(text.as_py()), meta_features(*meta)
+        raw = text.as_py()
+        yield k, view(raw), meta_features(*meta, raw)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +191,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text, meta = [], []
         for _, t, m in _features(b, view):
-            text.append(t), meta.append(m)
+            text.append(t[:MOST_FEATURES]), meta.append(m)
         yield pa.RecordBatch.from_arrays([b.column("spot"), *(b.column(t) for t in TARGETS), pa.array(text, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32()))], names=["spot", *TARGETS, "words", "meta"])
 
 
@@ -188,24 +214,24 @@ def labelled(docs: DataFrame, some: DataFrame) -> list:
     return got.orderBy("spot", "words").limit(LABELLED).collect()
 
 
-CONFIDENT = pa.schema([("target", pa.string()), ("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64()), ("spot", pa.int64())])
+CONFIDENT = pa.schema([("target", pa.string()), ("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64()), ("spot", pa.int64()), ("words", pa.list_(pa.int32())), ("meta", pa.list_(pa.int32()))])
+CONFIDENT_DDL = "target string, view int, label int, sure double, spot long, words array<int>, meta array<int>"
 
 
 def _confident(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, view = shared.value, _VIEW
-        best: dict[tuple[str, int, int], list[tuple[float, int]]] = {}
+        best: dict[tuple[str, int, int], list[tuple[float, int, np.ndarray, np.ndarray]]] = {}
         for b in batches:
             spots = b.column("spot").to_pylist()
             for k, text, meta in _features(b, view):
                 for target in TARGETS:
                     for v, x in enumerate(model.views(target, text, meta)):
-                        if probability(abs(x)) >= SURE:
-                            best.setdefault((target, v, int(x > 0)), []).append((-abs(x), spots[k]))
+                        best.setdefault((target, v, int(x > 0)), []).append((-abs(x), spots[k], text, meta))
             for key, found in best.items():  # a task puts out no more than the round may exchange
-                best[key] = sorted(found)[:EXCHANGED]
-        out = [(*key, -x, spot) for key, found in best.items() for x, spot in found]
-        yield batch(CONFIDENT, **dict(zip(CONFIDENT.names, zip(*out, strict=True) if out else [[]] * 5, strict=True)))
+                best[key] = sorted(found, key=lambda x: x[:2])[:EXCHANGED]
+        out = [(*key, -x, spot, text[:MOST_FEATURES], meta) for key, found in best.items() for x, spot, text, meta in found]
+        yield batch(CONFIDENT, **dict(zip(CONFIDENT.names, zip(*out, strict=True) if out else [[]] * 7, strict=True)))
 
     return run
 
@@ -213,29 +239,31 @@ def _confident(shared):
 #: The most confident of all tasks are found in so many parts by class first; the driver gets those of each part.
 PARTS = 16
 
+Examples = dict[tuple[str, int], list[tuple[np.ndarray, int, float]]]
+
 
-def exchanged(docs: DataFrame, some: DataFrame, model: Model) -> dict[tuple[str, int], list[tuple[np.ndarray, int]]]:
-    """By target and view, the examples that the other view is sure of: (features, label)."""
+def exchanged(docs: DataFrame, some: DataFrame, model: Model, quota: dict[tuple[str, int], int]) -> Examples:
+    """By target and view, the examples that the other view is surest of: (features, label, weight). quota: how many of a
+    target and class at most, EXCHANGED or less."""
     spark, key = docs.sparkSession, ["target", "view", "label"]
     rest = _rows(docs).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti")
-    found = rest.mapInArrow(_confident(spark.sparkContext.broadcast(model)), "target string, view int, label int, sure double, spot long")
+    found = staged(rest.mapInArrow(_confident(spark.sparkContext.broadcast(model)), CONFIDENT_DDL), "classifier-confident")
     rank = F.row_number().over(Window.partitionBy(*key, "part").orderBy(F.desc("sure"), "spot"))
-    rows = found.withColumn("part", F.pmod("spot", F.lit(PARTS))).withColumn("rank", rank).where(F.col("rank") <= EXCHANGED).select(*key, "sure", "spot").collect()  # 8 * PARTS * EXCHANGED at most
-    picked: dict[tuple[str, int, int], list[int]] = {}
+    ranked = found.select(*key, "sure", "spot").withColumn("part", F.pmod("spot", F.lit(PARTS))).withColumn("rank", rank)
+    rows = ranked.where(F.col("rank") <= EXCHANGED).select(*key, "sure", "spot").collect()  # 8 * PARTS * EXCHANGED at most
+    picked: dict[tuple[str, int, int], dict[int, float]] = {}
     for r in sorted(rows, key=lambda r: (-r.sure, r.spot)):
-        spots = picked.setdefault((r.target, r.view, r.label), [])
-        if len(spots) < EXCHANGED and r.spot not in spots:
-            spots.append(r.spot)
-    out: dict[tuple[str, int], list[tuple[np.ndarray, int]]] = {(t, v): [] for t in TARGETS for v in (0, 1)}
+        spots = picked.setdefault((r.target, r.view, r.label), {})
+        if len(spots) < quota[r.target, r.label] and r.spot not in spots:
+            spots[r.spot] = (2 * probability(r.sure) - 1) * model.fits[r.target][r.view].skill
+    out: Examples = {(t, v): [] for t in TARGETS for v in (0, 1)}
     if not picked:
         return out
     wanted = spark.createDataFrame([(x,) for x in sorted({x for spots in picked.values() for x in spots})], "spot long")  # 8 * EXCHANGED at most
-    nulls = [F.lit(None).cast("int").alias(t) for t in TARGETS]
-    chosen = _rows(docs).join(F.broadcast(wanted), "spot", "left_semi").select("spot", *nulls, "lang", "source", "n_chars", "text")
-    got = chosen.mapInArrow(_extract, "spot long, quality int, toxic int, words array<int>, meta array<int>").dropDuplicates(["spot"]).collect()
+    got = found.join(F.broadcast(wanted), "spot", "left_semi").select("spot", "words", "meta").dropDuplicates(["spot"]).collect()
     features = {r.spot: (np.array(r.words, np.int32), np.array(r.meta, np.int32)) for r in got}
     for (target, view, label), spots in picked.items():
-        out[target, 1 - view] += [(features[x][1 - view], label) for x in spots]
+        out[target, 1 - view] += [(features[x][1 - view], label, weight) for x, weight in spots.items() if weight > 0]
     return out
 
 
@@ -244,15 +272,15 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
     rows = labelled(docs, some)
     arrays = [(r.spot, {t: r[t] for t in TARGETS}, np.array(r.words, np.int32), np.array(r.meta, np.int32)) for r in rows]
     fit, held = [r for r in arrays if r[0] % HELD], [r for r in arrays if not r[0] % HELD]
-    extra: dict[tuple[str, int], list[tuple[np.ndarray, int]]] = {(t, v): [] for t in TARGETS for v in (0, 1)}
+    extra: Examples = {(t, v): [] for t in TARGETS for v in (0, 1)}
 
     def fitted() -> Model:
         fits, prior = {}, {}
         for t in TARGETS:
             both = []
             for v in (0, 1):
-                own = [(r[2 + v], r[1][t]) for r in fit if r[1][t] is not None] + extra[t, v]
-                view = Fit([x for x, _ in own], np.array([y for _, y in own]))
+                own = [(r[2 + v], r[1][t], 1.0) for r in fit if r[1][t] is not None] + extra[t, v]
+                view = Fit([x for x, _, _ in own], np.array([y for _, y, _ in own]), np.array([w for _, _, w in own]))
                 view.calibrate([r[2 + v] for r in held if r[1][t] is not None], np.array([r[1][t] for r in held if r[1][t] is not None]))
                 both.append(view)
             known = [r[1][t] for r in arrays if r[1][t] is not None]
@@ -260,9 +288,11 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
             fits[t], prior[t] = tuple(both), float(np.log(p / (1 - p)))
         return Model(fits, prior)
 
+    # a view gets no more pseudo-labels of a class than there are labels, or their errors would outweigh what is known
+    quota = {(t, y): min(EXCHANGED, sum(r[1][t] == y for r in fit)) for t in TARGETS for y in (0, 1)}
     model = fitted()
     for _ in range(rounds):
-        extra = exchanged(docs, some, model)
+        extra = exchanged(docs, some, model, quota)
         model = fitted()
     return model
 
