@@ -7,7 +7,7 @@ fingerprints have been compared. What is put out of a variant's group is a spann
 
 Nulls: a null text has no words and fingerprint zero; a null doc_id takes part, but isn't a component's number unless
 no member has another (then it is null). Repeated rows keep a row each; an empty table gives an empty result. Only doc_id
-and text are read; near_duplicates_removed() passes other columns through.
+and text are read. Links by the similarity of shingles, which such fingerprints miss, are in similar.py.
 """
 
 from __future__ import annotations
@@ -84,14 +84,14 @@ def forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends.append(np.stack((at[near], at[near + shift])))
         shift += 1
         if sum(x.shape[1] for x in ends) > 1 << 20:
-            ends = [_tree(np.concatenate(ends, axis=1), len(nodes))]
+            ends = [stars(np.concatenate(ends, axis=1), len(nodes))]
     if not ends:
         return fp[:0], fp[:0]
-    tree = _tree(np.concatenate(ends, axis=1), len(nodes))
+    tree = stars(np.concatenate(ends, axis=1), len(nodes))
     return nodes[tree[0]], nodes[tree[1]]
 
 
-def _tree(ends: np.ndarray, n: int) -> np.ndarray:
+def stars(ends: np.ndarray, n: int) -> np.ndarray:
     """A star for each component of the edges over nodes 0 to n - 1."""
     root = np.arange(n)
     while True:
@@ -175,11 +175,15 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def groups(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """fp, and of its component: first, the least (doc_id is null, doc_id, tie). rows: doc_id, tie, fp."""
+    """fp, and of its component: first, the least (doc_id is null, doc_id, tie). rows: doc_id, tie, fp.
+
+    A component's first comes from a table of its own, so that Spark can split the join with a component of many members.
+    """
     distinct = staged(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")), "simhash-distinct")
     roots = staged(components(links(distinct, block)), "simhash-roots")
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
+    placed = staged(placed, "simhash-placed")
+    firsts = staged(placed.groupBy("root").agg(F.min("first").alias("first")), "simhash-firsts")
     return placed.drop("first").join(firsts, "root").select("fp", "first")
 
 
@@ -189,18 +193,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK)
     return rows.join(groups(rows, block), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def near_duplicates_removed(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row of docs for each component: that of the least doc_id, and of the least text hash where several share it."""
-    rows = staged(fingerprints(docs, shingle), "simhash-rows")
-    kept = groups(rows, block).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie")).distinct()
-    full = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    met = full.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie")), "left_semi")
-    return met.dropDuplicates(["_doc", "_hash"]).select("_row.*")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_duplicates_removed(docs)
