@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paraqa.llm import decontam, mixing, quality, sharding, simhash
+from paraqa.llm import decontam, mixing, quality, sharding, similar
 from paraqa.llm.common import documents, staged
 
 #: Each stage gets what its predecessor kept, written as Parquet and read again.
 STAGES = [
     ("quality", quality.stage),
-    ("near_duplicates", simhash.stage),
+    ("near_duplicates", similar.stage),
     ("decontamination", decontam.stage),
     ("mixing", mixing.stage),
     ("sharding", sharding.stage),
