@@ -1,15 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words (runs of letters, digits and underscores, lower case) of a text and of every benchmark item are hashed under two masks
+Words (runs of letters, digits and underscores, lower case; each character by itself in scripts without blanks) of a text and of every benchmark item are hashed under two masks
 in items of LEAST words and more: 1111 and 1110111. A run of 13 words or more with a share of 0.8 equal words has four equal
 words in a row, or is three equal words and a substituted one in turn, so every such run has an equal hash at the same place.
 Shorter items are cut into one piece more than they may have substituted words, so one piece is whole. Equal hashes of test
 and training texts are joined; at each place where one was met the two texts are laid side by side, and the longest run with
 a share of SIMILARITY equal words that touches a hit's window is measured. A text is contaminated by an item if the run has
-LEAST words, or if it holds all words of a shorter item with that share equal. Items shorter than SHORTEST match nothing.
+LEAST words, or if it holds all words of a shorter item with that share equal. Items of fewer words than `shortest` (5
+unless given) match nothing: they stand in clean texts by chance.
 
-The benchmark is the query set: it is taken in blocks of about BLOCK_WORDS words, each broadcast by itself, whatever the
-benchmark's size; every text meets every block where it is read, without a shuffle.
+The benchmark is the query set: it is taken in blocks of about BLOCK_WORDS words, each broadcast by itself, so the driver holds
+one at a time. The corpus is read once, without a shuffle: a batch's texts are hashed once and meet one block after the
+other, and a worker that has several holds one at a time too.
 
 Nulls: null and empty texts and items match nothing; a null doc_id or item_id is passed through. Repeated documents keep
 their own rows, items of equal texts each get a row. Empty tables give empty results. clean() passes all columns through.
@@ -23,16 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
 
-WORD = re.compile(r"\w+")
+#: Chinese, Japanese, Thai, Lao, Khmer and Burmese are written without blanks.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORD = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
 #: Places of the words that count under each mask.
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4, 5, 6))
 SIMILARITY, LEAST = 0.8, 13
-#: Items of fewer words are no evidence and match nothing: they stand in clean texts by chance.
 SHORTEST = 5
 #: Words in a block of the benchmark, about; a block has len(MASKS) hashes of 8 bytes for each, and their places.
 BLOCK_WORDS = 200_000
@@ -86,13 +90,13 @@ def needed(n: int) -> int:
     return -(-n * round(10 * SIMILARITY) // 10)
 
 
-def item_hashes(h: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
+def item_hashes(h: np.ndarray, shortest: int = SHORTEST) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
     """(mask, hashes, their places) of an item."""
     if len(h) >= LEAST:
         for mask in MASKS:
             x = window_hashes(h, mask)
             yield mask, x, np.arange(len(x), dtype=np.int32)
-    elif len(h) >= SHORTEST:
+    elif len(h) >= max(1, shortest):
         for start, n in pieces(len(h)):
             yield tuple(range(n)), window_hashes(h[start : start + n], tuple(range(n))), np.array([start], np.int32)
 
@@ -100,21 +104,21 @@ def item_hashes(h: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.ndarray, np
 class Block:
     """Hashes of some items, sorted, with the item and the place of each; and a bit table that most hashes miss."""
 
-    def __init__(self, items: list[tuple[list, str]]):
+    def __init__(self, items: list[tuple[list, str]], shortest: int = SHORTEST):
         hasher = Hasher()
         self.ids = [ids for ids, _ in items]
         self.tokens = [hasher(words(text)) for _, text in items]
         self.words = np.concatenate([np.zeros(0, np.uint64), *self.tokens])
         self.sizes = np.array([len(h) for h in self.tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        got = [(k, *x) for k, h in enumerate(self.tokens) for x in item_hashes(h)]
+        got = [(k, *x) for k, h in enumerate(self.tokens) for x in item_hashes(h, shortest)]
         self.masks = sorted({mask for _, mask, _, _ in got})
         hashes = np.concatenate([np.zeros(0, np.uint64), *(x for _, _, x, _ in got)])
         item = np.concatenate([np.zeros(0, np.int32), *(np.full(len(x), k, np.int32) for k, _, x, _ in got)])
         place = np.concatenate([np.zeros(0, np.int32), *(x for _, _, _, x in got)])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.item, self.place = hashes[order], item[order], place[order]
-        self.shift = np.uint64(64 - min(26, max(10, (64 * len(hashes)).bit_length())))
+        self.shift = np.uint64(64 - min(26, max(10, (32 * len(hashes)).bit_length())))
         self.table = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.table[self.hashes >> self.shift] = True
 
@@ -199,24 +203,38 @@ def longest(equal: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[in
     return best
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK_WORDS) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, size: int = BLOCK_WORDS, shortest: int = SHORTEST) -> Iterator[Block]:
     """The benchmark in blocks, dealt by a hash of the text; items of equal texts are one, with all their ids."""
     items = benchmark.where("text IS NOT NULL").groupBy("text").agg(F.collect_list(F.struct(F.col("item_id").cast("long"))).alias("ids"))
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = -(-total // size)
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()  # about `size` words
-        yield Block([([x[0] for x in r.ids], r.text) for r in sorted(part, key=lambda r: r.text)])
+        yield Block([([x[0] for x in r.ids], r.text) for r in sorted(part, key=lambda r: r.text)], shortest)
 
 
-def _find(shared):
+def _shared(docs: DataFrame, benchmark: DataFrame, size: int, shortest: int) -> list[Broadcast]:
+    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, size, shortest)]
+
+
+def _each(shared: list[Broadcast]) -> Iterator[Block]:
+    """One block after the other; of several, a worker lets each go before it loads the next."""
+    for one in shared:
+        yield one.value
+        if len(shared) > 1:
+            one.__dict__.pop("_value", None)
+
+
+def _find(shared: list[Broadcast]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, hasher = shared.value, Hasher()
+        hasher = Hasher()
         for b in batches:
-            out = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                for item, found in sorted(block.matches(hasher(words(text.as_py()))).items()):
-                    out += [(doc_id, item_id, *found) for item_id in block.ids[item]]
+            ids, out = b.column("doc_id").to_pylist(), []
+            texts = [hasher(words(t.as_py())) for t in b.column("text")]
+            for block in _each(shared):
+                for doc_id, h in zip(ids, texts, strict=True):
+                    for item, found in sorted(block.matches(h).items()):
+                        out += [(doc_id, item_id, *found) for item_id in block.ids[item]]
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             names = ("doc_id", "item_id", "n_words", "n_equal", "doc_word", "item_word")
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -224,31 +242,30 @@ def _find(shared):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = BLOCK_WORDS, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, item_id, n_words and n_equal of the longest run, and where it begins in the text and the item (words)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ddl = "doc_id long, item_id long, n_words long, n_equal long, doc_word long, item_word long"
-    found = spark.createDataFrame([], ddl)
-    for block in blocks(benchmark, size):
-        found = found.union(rows.mapInArrow(_find(spark.sparkContext.broadcast(block)), ddl))
-    return found
+    return rows.mapInArrow(_find(_shared(docs, benchmark, size, shortest)), ddl)
 
 
-def _clean(shared):
+def _clean(shared: list[Broadcast]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, hasher = shared.value, Hasher()
+        hasher = Hasher()
         for b in batches:
-            yield b.filter(pa.array([not block.matches(hasher(words(t.as_py()))) for t in b.column("text")], pa.bool_()))
+            texts = [hasher(words(t.as_py())) for t in b.column("text")]
+            keep = np.ones(len(texts), bool)
+            for block in _each(shared):
+                for k in np.flatnonzero(keep):
+                    keep[k] = not block.matches(texts[k])
+            yield b.filter(pa.array(keep))
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = BLOCK_WORDS, shortest: int = SHORTEST) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
-    for block in blocks(benchmark, size):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
-    return docs
+    return docs.mapInArrow(_clean(_shared(docs, benchmark, size, shortest)), docs.schema)
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
