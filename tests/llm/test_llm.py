@@ -466,14 +466,45 @@ def test_reshard(spark, texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(abs(sizes[k] - sum(sizes.values()) / 16) <= 3 * largest for k in range(16))
     assert sharding.reshard(empty(spark), sharding.by_source(), 12, lambda t: sharding.even(t, 16)).count() == 0
-    with pytest.raises(ValueError, match="overwritten"):
-        sharding.reshard(df.withColumn("slot", F.lit(1)), sharding.by_source(), 12, lambda t: sharding.even(t, 16))
+
+
+def test_reshard_is_the_same_for_any_blocks_and_names(spark, texts):
+    names = ["slot", "Size", "block", "rn", "before", "start", "cuts", "shift", "row", "place", "text_crc32", "reshard_slot"]
+    plain = with_repeats(table(spark, texts))
+    df = plain.withColumns({n: F.concat(F.lit(f"mine {n} "), F.coalesce("doc_id", F.lit(-1))) for n in names})
+    even = lambda t: sharding.even(t, 5)
+    got = sharding.reshard(df, sharding.by_source(), 12, even, block_bytes=200)
+    assert got.columns == [*df.columns, "reshard_size", "reshard_text_crc32", "old_shard", "shard", "reshard_reshard_slot"]
+    assert Counter(map(tuple, got.select(df.columns).collect())) == Counter(map(tuple, df.collect()))
+    rows = got.collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.reshard_reshard_slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    again = sharding.reshard(df.repartition(9), sharding.by_source(), 12, even, block_bytes=200).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id, r.text, r.shard, r.reshard_reshard_slot)
+    assert Counter(map(key, rows)) == Counter(map(key, again))
+
+
+def test_sharding_query_reads_its_files(spark, texts, tmp_path):
+    df = with_repeats(table(spark, texts))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.query(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in df.collect())
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(16))
 
 
 def test_rewrite(spark, texts, tmp_path):
     df = table(spark, texts)
     df.withColumn("shard", F.when(F.col("doc_id") < 120, 0).when(F.col("doc_id") < 180, 1).otherwise(2)).write.partitionBy("shard").parquet(str(tmp_path / "in"))
-    touched = sharding.rewrite(spark, str(tmp_path / "in"), 3, 4, str(tmp_path / "out"))
+    docs = spark.read.parquet(str(tmp_path / "in")).withColumnRenamed("shard", "at_shard")
+    touched = sharding.rewrite(docs, F.col("at_shard"), 3, lambda t: sharding.even(t, 4), str(tmp_path / "out"), drop=("at_shard",))
     old = spark.read.parquet(str(tmp_path / "in")).where(~F.col("shard").isin(touched))
     new = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.doc_id for r in old.select("doc_id").union(new.select("doc_id")).collect()) == list(range(len(texts)))
+    # two shards that are full already stay as they are
+    even = spark.createDataFrame([(k, "x" * 9, "en", "s", 1) for k in range(40)], DOCS)
+    assert sharding.rewrite(even, (F.col("doc_id") % 2).cast("int"), 2, lambda t: sharding.even(t, 2), str(tmp_path / "same")) == []
