@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: ChatML marks, fixed values; in a text, `<|im_` is broken up by a space so that a text can't forge a turn.
+#: ChatML marks, fixed values; in a text, `<|im_` is broken up by a space so that a text can't forge a turn. The space stays:
+#: a text that holds such a mark can't be had back from its rendering.
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 #: Turns are ranked in chunks of so many turn numbers, and chunks by their counts, so a long conversation is spread.
 CHUNK = 256
@@ -62,6 +63,17 @@ def preference_rows(turns: DataFrame) -> DataFrame:
     )
 
 
+def assembled(rows: DataFrame) -> DataFrame:
+    """pair_id, prompt, chosen, rejected, and the places in each completion that are to be learned (start, end), from the rows
+    of preference_rows(). A row holds a pair's turns, so it is as long as two conversations."""
+    of = lambda p, x: F.array_sort(F.collect_list(F.when(F.col("part") == p, x)))
+    text = lambda p: F.array_join(F.transform(of(p, F.struct("position", "rendered")), lambda x: x.rendered), "")
+    learned = lambda p: of(p, F.when(F.col("mask_start").isNotNull(), F.struct(F.col("mask_start").alias("start"), F.col("mask_end").alias("end"))))
+    found = rows.groupBy("pair_id").agg(*(text(p).alias(p) for p in ("prompt", "chosen", "rejected")), *(learned(p).alias(f"{p}_mask") for p in ("chosen", "rejected")))
+    shift = lambda c: F.transform(c, lambda m: F.struct((m.start - F.length("prompt")).alias("start"), (m.end - F.length("prompt")).alias("end")))
+    return found.withColumns({f"{p}_mask": shift(f"{p}_mask") for p in ("chosen", "rejected")})
+
+
 def paired(conversations: DataFrame) -> DataFrame:
     """Conversations 2 k and 2 k + 1 as the chosen and the rejected one of pair k."""
     number = F.col("conv_id").cast("long")

@@ -6,7 +6,8 @@ lost executor's half-written files out:
 dictionary/  hash string (sha256 of the bytes, hex), bytes binary, width int (bytes of an id: 2 if the vocabulary has at
              most 65,536 ids, else 4). The dictionary is trained on serialized id arrays of a sample of SAMPLE documents.
 blocks/      a row for each run of documents in ascending doc_id order: shard int, block int, first long (ids of the
-             shard before the block), hash string, doc_ids array<long>, n_tokens array<long>, offsets array<long> (where
+             shard before the block), first_doc long, last_doc long (least and greatest doc_id of the block, by which a
+             reader skips the others), hash string, doc_ids array<long>, n_tokens array<long>, offsets array<long> (where
              each document's frame starts, and the end), frames binary. A frame is one document's ids, little-endian,
              compressed by itself with the dictionary; so a short document costs one small read and no neighbours.
 
@@ -19,6 +20,7 @@ frame each, in the order of the text's hash. An empty table gives tables without
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from array import array
@@ -55,6 +57,21 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
 
+#: The parts of a tokenizer, as its file has them, that the short way relies on.
+PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
 class Encoder:
     """Ids of whole texts from the tokenizers library.
 
@@ -62,6 +79,7 @@ class Encoder:
     So the ids of a text are those of its words in a row, those of a word of letters with marks behind it are the letters'
     and the marks', and each distinct word is encoded once. Words of ASCII and Latin letters are already what the library's
     normalizer and pre-tokenizer make of them, once lowered, and go straight to its model; all others go through all of it.
+    This holds for tokenizers with the PARTS below; with any other one, whole texts go through all of it.
     """
 
     def __init__(self, path: str):
@@ -70,6 +88,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_words = all(parts.get(k) == v for k, v in PARTS.items()) and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
         self.end = END_ID.to_bytes(self.width, "little")
@@ -110,6 +130,10 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         """Of each of the texts (binary, UTF-8) the ids, serialized, with the end id. Arrow finds the distinct words of
         slices of about AT_ONCE bytes, and numpy lays their ids out."""
+        if not self.by_words:
+            for text in texts:
+                yield array(self.kind, self.tokenizer.encode(text.as_py().decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes() + self.end
+            return
         size = np.diff(np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.binary() else np.int64)[texts.offset : texts.offset + len(texts) + 1])
         slices = np.flatnonzero(np.diff(np.cumsum(size) // AT_ONCE, prepend=0)).tolist() if len(size) else []
         for a, z in zip([0, *slices], [*slices, len(texts)], strict=True):
@@ -184,8 +208,8 @@ def _compress(path: str, dictionary: bytes):
     return run
 
 
-BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())])
-BLOCKS_DDL = "shard int, block int, first long, hash string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, frames binary"
+BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())])
+BLOCKS_DDL = "shard int, block int, first long, first_doc long, last_doc long, hash string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, frames binary"
 
 
 def _blocks(hash_: str):
@@ -194,7 +218,9 @@ def _blocks(hash_: str):
         ids, n, offsets, frames = [], [], [0], []
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "first": first, "hash": hash_, "doc_ids": ids, "n_tokens": n, "offsets": offsets, "frames": b"".join(frames)}], schema=BLOCKS)
+            known = [x for x in ids if x is not None]
+            ends = {"first_doc": min(known, default=None), "last_doc": max(known, default=None)}
+            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "first": first, **ends, "hash": hash_, "doc_ids": ids, "n_tokens": n, "offsets": offsets, "frames": b"".join(frames)}], schema=BLOCKS)
 
         for b in batches:
             for doc_id, count, frame in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("frame"), strict=True):
@@ -234,11 +260,17 @@ def load_dictionary(spark: SparkSession, out: str) -> tuple[bytes, str, int]:
     return bytes(r.bytes), r.hash, r.width
 
 
+def blocks_of(spark: SparkSession, out: str, doc_id: int) -> DataFrame:
+    """The blocks that may hold a document."""
+    return spark.read.schema(BLOCKS_DDL).parquet(f"{out}/blocks").where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+
+
 def fetch(spark: SparkSession, out: str, doc_id: int) -> list[np.ndarray]:
-    """The ids of the documents with this id: the index finds their blocks, and only their frames are decompressed."""
+    """The ids of the documents with this id: the blocks' least and greatest ids, which Parquet's statistics keep too, find
+    their blocks, and only their frames are decompressed."""
     dictionary, hash_, width = load_dictionary(spark, out)
     unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
-    rows = spark.read.parquet(f"{out}/blocks").where(F.array_contains("doc_ids", F.lit(doc_id)))
+    rows = blocks_of(spark, out, doc_id).where(F.array_contains("doc_ids", F.lit(doc_id)))
     spot = F.explode(F.filter(F.sequence(F.lit(0), F.size("doc_ids") - 1), lambda k: F.element_at("doc_ids", k + 1) == doc_id))
     cut = rows.select("hash", "shard", "block", spot.alias("k"), "offsets", "frames").selectExpr("hash", "shard", "block", "k", "substring(frames, int(offsets[k] + 1), int(offsets[k + 1] - offsets[k])) AS frame")
     found = []

@@ -123,6 +123,13 @@ def test_preference(spark):
     got = preference.preference_rows(preference.paired(df)).collect()
     assert Counter(map(tuple, got)) == brute_preference(rows)
     assert preference.preference_rows(preference.paired(df.limit(0))).count() == 0
+    for r in preference.assembled(preference.preference_rows(preference.paired(df))).collect():
+        mine = sorted((g for g in got if g.pair_id == r.pair_id), key=lambda g: g.position)
+        for part in ("prompt", "chosen", "rejected"):
+            assert r[part] == "".join(g.rendered for g in mine if g.part == part)
+        for part in ("chosen", "rejected"):
+            learned = [r[part][m.start : m.end] for m in r[f"{part}_mask"]]
+            assert learned == [g.rendered.split("\n", 1)[1] for g in mine if g.part == part and g.role == "assistant"]
 
 
 # --- 3
@@ -234,6 +241,32 @@ def test_tokens(spark, texts, tokenizer_path, tmp_path):
     assert [x.tolist() for x in tokens.fetch(spark, str(tmp_path / "t"), 20)] == [ids[texts[20]]]
 
 
+def test_tokens_fetch_reads_its_blocks_only(spark, tokenizer_path, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30)), "en", "s", 1) for k in range(300)]
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 1000)
+    tokens.write(spark.createDataFrame([*rows, (None, "none", "en", "s", 1)], DOCS), tokenizer_path, str(tmp_path / "t"), shards=4)
+    found = tokens.blocks_of(spark, str(tmp_path / "t"), 123)
+    assert 1 <= found.count() < spark.read.parquet(str(tmp_path / "t/blocks")).count() / 4
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = tokens.blocks_of(spark, str(tmp_path / "t"), 123)._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "LessThanOrEqual(first_doc,123)" in plan and "GreaterThanOrEqual(last_doc,123)" in plan
+    assert len(tokens.fetch(spark, str(tmp_path / "t"), 123)) == 1 and tokens.fetch(spark, str(tmp_path / "t"), 10**6) == []
+
+
+def test_tokens_of_another_tokenizer(tokenizer_path):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encode, library = tokens.Encoder(public.path(name)), Tokenizer.from_file(public.path(name))
+        assert encode.by_words == by_words
+        odd = ["Hello, World!! it's <|endoftext|> x", "", " two  Words\n", "İstanbul é"]
+        got = [np.frombuffer(x, encode.kind).tolist() for x in encode(pa.array([t.encode() for t in odd], pa.binary()))]
+        assert got == [library.encode(t, add_special_tokens=False).ids + [1] for t in odd]
+
+
 def test_tokens_empty(spark, tokenizer_path, tmp_path):
     tokens.write(empty(spark), tokenizer_path, str(tmp_path / "t"))
     assert tokens.read(spark, str(tmp_path / "t")).count() == 0
