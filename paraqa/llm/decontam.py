@@ -278,3 +278,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean(docs, _benchmark(spark, sf_dir))
+
+
+#: What Python counts as a letter of a word, for RE2.
+_LETTERS = "[\\p{L}\\p{N}_]"
+
+
+def _sql() -> str:
+    """DuckDB: equal words by diagonal of every text and item, and the longest run of those that count, without any hashing."""
+    unspaced = "".join(f"\\x{{{ord(c):X}}}" if c != "-" else "-" for c in UNSPACED)
+    words = f"regexp_extract_all(regexp_replace(lower(text), '([{unspaced}])', ' \\1 ', 'g'), '{_LETTERS}+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS ws FROM documents WHERE text IS NOT NULL),
+b AS (SELECT row_number() OVER () AS iid, item_id, {words} AS ws FROM benchmark WHERE text IS NOT NULL),
+dw AS (SELECT rid, p - 1 AS p, ws[p] AS w FROM d, unnest(range(1, len(ws) + 1)) AS u(p)),
+bw AS (SELECT iid, q - 1 AS q, ws[q] AS w, len(ws) AS n FROM b, unnest(range(1, len(ws) + 1)) AS u(q) WHERE len(ws) >= {SHORTEST}),
+g AS (SELECT rid, iid, p - q AS diag, n, list(p ORDER BY p) AS ps FROM dw JOIN bw USING (w) GROUP BY rid, iid, p - q, n HAVING 10 * count(*) >= 8 * least(n, {LEAST})),
+r AS (SELECT rid, iid, diag, ps[a] AS s, ps[z] - ps[a] + 1 AS size, z - a + 1 AS equal FROM g, unnest(range(1, len(ps) + 1)) AS u(a), unnest(range(1, len(ps) + 1)) AS v(z)
+    WHERE n >= {LEAST} AND ps[z] - ps[a] + 1 >= {LEAST} AND 10 * (z - a + 1) >= 8 * (ps[z] - ps[a] + 1)
+  UNION ALL SELECT rid, iid, diag, diag, n, len(ps) FROM g JOIN d USING (rid) WHERE n < {LEAST} AND diag >= 0 AND diag + n <= len(ws)),
+o AS (SELECT *, row_number() OVER (PARTITION BY rid, iid, diag ORDER BY size DESC, s) AS k FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY rid, iid ORDER BY size DESC, equal DESC, s, diag) AS best FROM o WHERE k = 1)
+SELECT doc_id, item_id, size AS n_words, equal AS n_equal, s AS doc_word, s - diag AS item_word FROM f JOIN d USING (rid) JOIN b USING (iid) WHERE best = 1
+"""
+
+
+SQL = _sql()

@@ -161,6 +161,38 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source")
 
 
+def _sql() -> str:
+    """DuckDB: the same counts by lists and windows, exact ranks of the sketch's bins, the same limits."""
+    counted = "\n".join(f"  UNION ALL SELECT lang, source, '{k}', 1000 * {c} // greatest({of}, 1) FROM s WHERE NOT base_failed" for k, (c, of, _) in COUNTED.items())
+    ends = ", ".join(f"max(q3 + {FENCE} * (q3 - q1)) FILTER (signal = '{k}') AS limit_{k}" for k in COUNTED)
+    within = " AND ".join(f"{c} <= limit_{k} * {of} / 1000 + {DEVIATIONS} * (sqrt({event} * (limit_{k} * {of} / 1000)) + {event})" for k, (c, of, event) in COUNTED.items())
+    chance = f"{DEVIATIONS} * typical / 2 / sqrt(greatest(n_words, 1))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS n FROM w, unnest(range(1, len(ws) - {WINDOW - 2})) AS u(i)),
+r AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM g, unnest(range(i, i + {WINDOW})) AS u(j) WHERE n > 1 GROUP BY rid),
+c AS (SELECT d.rid, doc_id, lang, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d JOIN w USING (rid) LEFT JOIN r USING (rid)),
+s AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEAT} * n_words AS base_failed FROM c),
+v AS (SELECT lang, source, 'length' AS signal, 1000 * word_chars // greatest(n_words, 1) AS v FROM s WHERE NOT base_failed
+{counted}),
+b AS (SELECT lang, source, signal, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)) << (length(bin(v)) - 5) END AS low FROM v),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, signal ORDER BY low) AS rk, count(*) OVER (PARTITION BY lang, source, signal) AS n FROM b),
+q AS (SELECT lang, source, signal, min(low) FILTER (4 * rk >= n) AS q1, min(low) FILTER (4 * rk >= 3 * n) AS q3 FROM k GROUP BY lang, source, signal),
+f AS (SELECT lang, source, {ends}, max(q3 + {FENCE} * (q3 - q1)) FILTER (signal = 'length') AS most_length, max(q1 - {FENCE} * (q3 - q1)) FILTER (signal = 'length') AS least_length, max(q3) FILTER (signal = 'length') AS typical
+  FROM q GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce({within} AND 1000 * word_chars // greatest(n_words, 1) <= most_length + {chance} AND 1000 * word_chars // greatest(n_words, 1) >= least_length - {chance}, true) AS kept,
+  s.lang, s.source
+FROM s LEFT JOIN f ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source
+"""
+
+
+SQL = _sql()
+
+
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns. The rows are carried as one column beside the signals, so
     their names can't clash; their texts are read a second time, after the limits are known, and not shuffled before the

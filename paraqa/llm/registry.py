@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": sharding.query,
 }
 
-ORACLES: dict[str, str] = {"op2_preference_format": preference.SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.SQL, "op2_preference_format": preference.SQL, "op6_decontamination": decontam.SQL, "op7_repeated_strings": repeats.SQL}

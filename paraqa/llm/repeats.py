@@ -498,3 +498,18 @@ def repeats_removed(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(documents(spark, sf_dir), with_bytes=False).drop("rid", "kept")
+
+
+#: DuckDB: all windows as hexadecimal strings (cut from pieces of 256 windows), their ranks, and what no window that came before covers.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS rid, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+c AS (SELECT rid, 256 * j AS base, substr(h, 512 * j + 1, {512 + 2 * LENGTH - 2}) AS h FROM d, unnest(range(0, length(h) // 512 + 1)) AS u(j)),
+w AS (SELECT rid, base + i AS i, row_number() OVER (PARTITION BY substr(h, 2 * i + 1, {2 * LENGTH}) ORDER BY rid, base + i) AS n FROM c, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS u(i)),
+m AS (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + {LENGTH}, true)::INT AS new FROM w WHERE n > 1),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM m),
+s AS (SELECT rid, run, min(i) AS a, max(i) + {LENGTH} AS z FROM g GROUP BY rid, run),
+p AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS after FROM s),
+k AS (SELECT rid, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) AS rest FROM p JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
