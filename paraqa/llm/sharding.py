@@ -157,11 +157,12 @@ def solved(docs: DataFrame, old_shard: Column, old_shards: int, capacities: Call
                 while at >= mine[turn][1]:
                     turn += 1
                 j = mine[turn][2]
-                starts.append((i, b, at, j * (1 << 24) + filled[j] // file_bytes))
+                starts.append((i, b, at, (j, filled[j] // file_bytes)))
                 filled[j] += sums[i, b]
                 at += sums[i, b]
     per_old = spark.createDataFrame(cuts, "old_shard int, lo long, hi long, shard int").groupBy("old_shard").agg(F.collect_list(F.struct("lo", "hi", "shard")).alias("cuts"))
-    begin = spark.createDataFrame(starts, "old_shard int, block int, start long, place int")
+    files = {place: k for k, place in enumerate(sorted({s[3] for s in starts}))}
+    begin = spark.createDataFrame([(*s[:3], files[s[3]]) for s in starts], "old_shard int, block int, start long, place int")
     placed = _to_shards(rows, per_old, begin)
     parts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"), F.min("rn").alias("first")).collect()  # a row for each block and cut
     offsets, slots = [], [0] * len(room)
@@ -169,7 +170,7 @@ def solved(docs: DataFrame, old_shard: Column, old_shards: int, capacities: Call
         offsets.append((r.shard, r.old_shard, r.block, slots[r.shard] - r.first))
         slots[r.shard] += r.n
     shifts = spark.createDataFrame(offsets, "shard int, old_shard int, block int, shift long")
-    return Plan(blocks, per_old, begin, shifts, placed, flow, len({s[3] for s in starts}))
+    return Plan(blocks, per_old, begin, shifts, placed, flow, len(files))
 
 
 def _slotted(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -197,9 +198,8 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, capacities: Cal
     plan = plan or solved(docs, old_shard, old_shards, capacities, block_bytes)
     rows = _blocked(docs.select(F.struct("*").alias("row"), *_measured(docs, old_shard)), plan.blocks)
     rows = rows.join(F.broadcast(plan.starts), ["old_shard", "block"])  # as many rows as blocks
-    parts = max(plan.places, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # rows of a place are together, so a window over a place's blocks shuffles nothing
-    rows = _numbered(rows.repartition(parts, "place"), "place", "old_shard", "block")
+    # a partition for each place, so a window over its blocks shuffles nothing
+    rows = _numbered(rows.repartitionById(max(1, plan.places), "place"), "place", "old_shard", "block")
     names = added_names(docs.columns)
     rows = _slotted(_to_shards(rows, plan.cuts, plan.starts), plan)
     return rows.select("row.*", *(F.col(name).alias(new) for name, new in names.items()))
