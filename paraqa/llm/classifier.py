@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -53,30 +54,48 @@ def feature(kind: str, value: bytes) -> int:
     return xxhash.xxh64_intdigest(kind.encode() + b":" + value, 9) % DIMENSIONS
 
 
-class TextView:
-    """Features of a text: of each distinct word its letters and its marks, and how often a word repeats the last one."""
+known_feature = lru_cache(1 << 16)(feature)  # of kinds that have few values
 
-    def __init__(self):
-        self.known: dict[bytes, bytes] = {}
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS_ONLY = feature("marks", b"_")
+
+
+class TextView(dict):
+    """Features of a text: of each distinct word its letters and its marks, and how often a word repeats the last one.
 
-    @staticmethod
-    def of_word(w: bytes) -> bytes:
-        core = w.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-        marks = w.replace(core, b"_", 1) if core else w
-        return array("i", (feature("word", core), feature("marks", marks))).tobytes()
+    A dictionary of the words' numbers, new ones are numbered when they are asked for; two places of `flat` have a word's
+    features.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.flat = array("i", bytes(1 << 16))
+
+    def __missing__(self, word: bytes) -> int:
+        number = len(self)
+        if 2 * number == len(self.flat):
+            self.flat.extend(self.flat)
+        if word.isalpha():
+            core, marks = word, LETTERS_ONLY
+        else:
+            core = word.strip(MARKS)
+            marks = known_feature("marks", word.replace(core, b"_", 1) if core else word)
+        self.flat[2 * number], self.flat[2 * number + 1] = xxhash.xxh64_intdigest(core, 10) % DIMENSIONS, marks
+        self[word] = number
+        return number
 
     def __call__(self, raw: bytes) -> np.ndarray:
+        if len(self) > MOST_WORDS:
+            self.clear()
         words = raw.lower().split()
-        distinct, known = set(words), self.known
-        new = distinct.difference(known)
-        if len(known) + len(new) > MOST_WORDS:
-            known.clear()
-            new = distinct
-        for w in new:
-            known[w] = self.of_word(w)
+        distinct = set(words)
         again = 100 * sum(map(eq, words, words[1:])) // max(1, len(words))
-        found = np.frombuffer(b"".join(map(known.__getitem__, distinct)), np.int32)
-        return np.unique(np.append(found, np.int32(feature("again", b"%d" % again.bit_length()))))
+        numbers = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
+        found = np.empty(2 * len(numbers) + 1, np.int32)
+        flat = np.frombuffer(self.flat, np.int32)
+        found[0:-1:2], found[1::2], found[-1] = flat[2 * numbers], flat[2 * numbers + 1], known_feature("again", b"%d" % again.bit_length())
+        found.sort()
+        return found[np.append(True, found[1:] != found[:-1])]
 
 
 _VIEW = TextView()  # one for each worker process: later tasks find the words of earlier ones
@@ -88,13 +107,13 @@ KINDS = {"lines": b"\n", "capitals": bytes(range(65, 91)), "digits": bytes(range
 
 def meta_features(lang: str | None, source: str | None, n_chars: int | None, raw: bytes) -> np.ndarray:
     """Shares are taken by powers of two of a thousandth."""
-    found = [feature("lang", repr(lang).encode()), feature("source", repr(source).encode()), feature("chars", b"%d" % n_chars.bit_length() if n_chars is not None else b"none")]
+    found = [known_feature("lang", repr(lang).encode()), known_feature("source", repr(source).encode()), known_feature("chars", b"%d" % n_chars.bit_length() if n_chars is not None else b"none")]
     size = max(1, len(raw))
     for kind, those in KINDS.items():
         n = len(raw) - len(raw.translate(None, those))
-        found.append(feature(kind, b"%d" % (1000 * n // size).bit_length()))
+        found.append(known_feature(kind, b"%d" % (1000 * n // size).bit_length()))
         if kind == "lines":
-            found += [feature("n_lines", b"%d" % n.bit_length()), feature("line", b"%d" % (size // (n + 1)).bit_length())]
+            found += [known_feature("n_lines", b"%d" % n.bit_length()), known_feature("line", b"%d" % (size // (n + 1)).bit_length())]
     return np.array(found, np.int32)
 
 
