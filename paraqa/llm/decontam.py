@@ -52,17 +52,17 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-class Hasher:
-    def __init__(self):
-        self.known: dict[str, int] = {}
+class Hasher(dict):
+    """Hashes of words; new ones are found when they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        return h
 
     def __call__(self, found: list[str]) -> np.ndarray:
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        known = self.known
-        for w in set(found).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)
-        return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
+        if len(self) > MOST_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

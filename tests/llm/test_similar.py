@@ -115,3 +115,16 @@ def test_shared_keys_over_batches():
         assert got == [n for n in range(len(key)) if (key == key[n]).sum() > 1]
         whole = [list(map(int, g[0])) for g in similar._groups(iter(batches), ("key", "node"), rows=4)]
         assert [k for g in whole for k in g] == key.tolist() and all(not set(a) & set(b) for a, b in zip(whole, whole[1:]))
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abé\u4e00", k=rng.randint(1, 5))) for _ in range(3000)] + ["a" * k for k in range(1, 400)]
+    text = "".join(w.upper() + rng.choice([" ", "\n", "\t ", "  \r\n", "\x0b"]) for w in words).encode()
+    h = similar.word_hashes(text)
+    of = dict(zip([w.upper().encode().lower() for w in words], h.tolist()))
+    assert len(h) == len(words) and h.tolist() == [of[w.upper().encode().lower()] for w in words] and len(set(of.values())) == len(of)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(similar, "PIECE", size)
+        assert similar.word_hashes(text).tolist() == h.tolist()
+    assert len(similar.word_hashes(b"")) == len(similar.word_hashes(b" \n ")) == 0 and len(similar.word_hashes(b"x")) == 1
