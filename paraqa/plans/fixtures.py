@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import spread
 
 GLOSSARY = """SELECT * FROM (VALUES (0, 0, 'tion', '译项'), (0, 1, 'ing', '进行'), (1, 0, 'tion', '另一'), (1, 1, ' ble ', '可'), (1, 2, 'none', ' '), (2, 0, 'keep', 'the of')) AS g(file_no, row_no, source, target)"""
 MARKED = """SELECT * FROM (VALUES (1, 'See {v1} and <style id=''2''>bold</style> <b3>x</b3>'), (2, 'spaced { v 4 } < style id = '' 5 '' > < / style >'), (3, 'none'), (4, 'twice {v1} {v1}'), (5, ''), (6, NULL), (7, 'wide { v٣ } 1 234')) AS m(id, text)"""
@@ -38,7 +39,7 @@ def sql(spark: SparkSession, query: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with drafts: in full, without digits, with the first line left as it was, and with one in ten empty."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("source"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.col("text").alias("source"))
     full = T.pseudo_translation(F.col("source"))
     first = F.regexp_extract("source", r"^[^\n]*", 0)
     rest = T.pseudo_translation(F.regexp_replace("source", r"^[^\n]*", ""))

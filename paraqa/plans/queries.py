@@ -79,6 +79,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for queries that work on their texts."""
+    return tables.spread(_table(spark, sf_dir, "documents"))
+
+
 def _joined(c: str):
     return F.array_join(c, ",")
 
@@ -93,12 +98,12 @@ def placeholders(spark, sf_dir):
 
 @query("numbers_norm", f"SELECT doc_id, array_to_string({NUMBERS.format('text')}, '|') AS numbers FROM documents")
 def numbers_norm(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.numbers(F.col("text")), "|").alias("numbers"))
+    return _texts(spark, sf_dir).select("doc_id", F.array_join(T.numbers(F.col("text")), "|").alias("numbers"))
 
 
 @query("english_runs", f"SELECT doc_id, len(r) AS n_runs, coalesce(list_max(list_transform(r, lambda x: length(x))), 0)::INT AS longest FROM (SELECT doc_id, {runs_sql('text', 4)} AS r FROM documents)")
 def english_runs(spark, sf_dir):
-    runs = _table(spark, sf_dir, "documents").select("doc_id", T.english_runs(F.col("text")).alias("r"))
+    runs = _texts(spark, sf_dir).select("doc_id", T.english_runs(F.col("text")).alias("r"))
     return runs.select("doc_id", F.size("r").cast("long").alias("n_runs"), F.coalesce(F.array_max(F.transform("r", F.length)), F.lit(0)).alias("longest"))
 
 
@@ -114,7 +119,7 @@ def squash(spark, sf_dir):
 
 @query("text_key", f"SELECT doc_id, sha256({STRIP.format('text')}) AS k FROM documents")
 def text_key(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", T.key(F.col("text")).alias("k"))
+    return _texts(spark, sf_dir).select("doc_id", T.key(F.col("text")).alias("k"))
 
 
 @query("job_signature", """SELECT doc_id, sha256('{"c0":' || doc_id || ',"c1":"' || lang || '","c2":"' || source || '","c3":"full"}') AS signature FROM documents""")
@@ -233,7 +238,7 @@ def dump_batch_output(spark, sf_dir):
       SELECT doc_id, CASE WHEN length(text) <= 200 THEN [text] ELSE r.p || CASE WHEN r.c = '' THEN []::VARCHAR[] ELSE [r.c] END END AS p FROM f)""",
 )
 def split_text(spark, sf_dir):
-    pieces = _table(spark, sf_dir, "documents").select("doc_id", chunks.split_text("text", 200).alias("p"))
+    pieces = _texts(spark, sf_dir).select("doc_id", chunks.split_text("text", 200).alias("p"))
     return pieces.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("pieces"))
 
 
@@ -433,7 +438,7 @@ found AS (SELECT item, arg_min(page, (q.n, page)) AS page FROM probes JOIN (SELE
 @query("page_finder", f"WITH items AS (SELECT item_id AS item, text FROM benchmark), pg AS (SELECT doc_id AS page, text FROM documents), {_FIND} SELECT * FROM found")
 def page_finder(spark, sf_dir):
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
-    return report.find_pages(items, _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text"))
+    return report.find_pages(items, _texts(spark, sf_dir).select(F.col("doc_id").alias("page"), "text"))
 
 
 _BLOCKS = f"""blocks AS (SELECT doc_id AS page, doc_id * 100000 + i - 1 AS block_no, {STRIP.format('l[i]')} AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i)),
@@ -441,7 +446,7 @@ english AS (SELECT page, block_no, regexp_replace(text, '{SP}', ' ', 'g') AS tex
 
 
 def _blocks(spark, sf_dir) -> DataFrame:
-    lines = tables.blocks(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text"))
+    lines = tables.blocks(_texts(spark, sf_dir).select(F.col("doc_id").alias("page"), "text"))
     return lines.select("page", (F.col("page") * 100000 + F.col("i")).alias("block_no"), "text")
 
 

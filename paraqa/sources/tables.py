@@ -121,6 +121,13 @@ def labelled_union(results: dict[str, DataFrame], current: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [results[k].withColumns({"label": F.lit(k), "label_no": F.lit(n)}) for n, k in enumerate(order)])
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where the input has fewer parts than twice the cores: a small file may be one row group, which one
+    task would read and work on alone. Larger inputs stay as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def output_names(path: str, folder: str = "", engine: str = "") -> dict[str, str]:
     """Names of the results of a document."""
     p = PurePosixPath(path)
