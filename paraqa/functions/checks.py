@@ -34,7 +34,9 @@ def _markup(src: Column, out: Column) -> Column:
 
 
 def _numbers(bare: Column) -> Column:
-    return T.let(T.surplus(T.numbers_in(bare.src), T.numbers_in(bare.out)), lambda m: F.when(F.size(m) > 0, F.concat(F.lit("numbers:"), F.array_join(m, "|"))))
+    named = lambda m: F.when(F.size(m) > 0, F.concat(F.lit("numbers:"), F.array_join(m, "|")))
+    both = F.struct(T.numbers_in(bare.src).alias("src"), T.numbers_in(bare.out).alias("out"))
+    return T.let(both, lambda b: F.when(b.src != b.out, T.let(T.surplus(b.src, b.out), named)))
 
 
 def _of_prose(src: Column, out: Column, bare: Column, keep: Column) -> Column:
@@ -46,9 +48,10 @@ def _of_prose(src: Column, out: Column, bare: Column, keep: Column) -> Column:
         measures,
         lambda m: F.when(m.cjk == 0, F.lit("no_cjk")).when(long_enough(m) & (ratio(m) < SHORT), F.lit("short")).when(long_enough(m) & (ratio(m) > LONG), F.lit("long")),
     )
-    left = T.let(F.lower(src), lambda low: F.filter(T.english_runs_in(bare.out, PROSE), lambda r: F.contains(low, F.lower(r)) & ~F.array_contains(keep, F.lower(r))))
+    among = lambda runs: T.let(F.lower(src), lambda low: F.filter(runs, lambda r: F.contains(low, F.lower(r)) & ~F.array_contains(keep, F.lower(r))))
+    left = T.let(T.english_runs_in(bare.out, PROSE), lambda runs: F.when(F.size(runs) > 0, among(runs)).otherwise(runs))
     leftover = T.let(left, lambda rs: F.when(F.size(rs) > 0, F.concat(F.lit("leftover:"), F.array_join(F.slice(rs, 1, NAMED), "|"))))
-    return F.when(T.count_matches(bare.src, T.ENGLISH_WORD) >= PROSE, F.array(leftover, length)).otherwise(F.array().cast("array<string>"))
+    return F.when(T.has_words(bare.src, PROSE), F.array(leftover, length)).otherwise(F.array().cast("array<string>"))
 
 
 def ok(issues: Column) -> Column:

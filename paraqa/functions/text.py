@@ -19,6 +19,8 @@ BATCH_MARKER = "## Here is the input:"
 SINGLE_MARKER = "Now translate the following text:"
 GLOSSARY_HEADER = "Source Term"
 
+#: SPACES as Java tests them fastest: Latin ones as a table, and a range around the others. RE2 can't read it.
+JAVA_SPACES = r"\x09\x0A\x0B\x0C\x0D\x1C\x1D\x1E\x1F\x20\x85\xA0[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
 #: The characters of SPACES.
 WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -39,11 +41,14 @@ def strip(text: Column) -> Column:
 
 
 def without_space(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE, "")
+    """Blanks go first, by bytes; the pattern then meets the rare other spaces."""
+    return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), f"[{JAVA_SPACES}]+", "")
 
 
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE, " ")
+    """A text that has only single blanks stays as it is."""
+    other = F.contains(text, F.lit("  ")) | F.rlike(F.replace(text, F.lit(" "), F.lit("")), F.lit(f"[{JAVA_SPACES}]"))
+    return F.when(other, F.regexp_replace(text, f"[{JAVA_SPACES}]+", " ")).otherwise(text)
 
 
 def _marked(text: Column) -> Column:
@@ -69,7 +74,7 @@ def numbers(text: Column) -> Column:
 
 def numbers_in(bare: Column) -> Column:
     """Of a text without placeholders."""
-    return F.transform(every(bare, NUMBER), lambda n: F.regexp_replace(n, rf",(?={DIGIT}{{3}}(?!{DIGIT}))", ""))
+    return F.transform(every(bare, NUMBER), lambda n: F.when(F.contains(n, F.lit(",")), F.regexp_replace(n, rf",(?={DIGIT}{{3}}(?!{DIGIT}))", "")).otherwise(n))
 
 
 def english_runs(text: Column, least: int = 4) -> Column:
@@ -81,24 +86,42 @@ def english_runs(text: Column, least: int = 4) -> Column:
 def english_runs_in(bare: Column, least: int = 4) -> Column:
     """Of a text without placeholders."""
     word = r"[A-Za-z][A-Za-z'’-]*+"
-    return F.transform(every(bare, rf"{word}(?:[{SPACES},;:]++{word}){{{least - 1},}}+"), strip)
+    return F.transform(every(bare, rf"{word}(?:[{JAVA_SPACES},;:]++{word}){{{least - 1},}}+"), strip)
 
 
 def count_cjk(text: Column) -> Column:
-    """CJK characters; runs of them are taken out at once instead of listing each."""
-    return F.length(text) - F.length(F.regexp_replace(text, CJK + "+", ""))
+    """CJK characters; runs of them are taken out at once instead of listing each. A text of ASCII has none."""
+    return F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.length(text) - F.length(F.regexp_replace(text, CJK + "+", "")))
 
 
 def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def has_words(text: Column, least: int) -> Column:
+    """Whether there are so many English words. Most texts show it at their start; a word cut there counts no more than whole."""
+    return (count_matches(F.substring(text, 1, 12 * least), ENGLISH_WORD) >= least) | (count_matches(text, ENGLISH_WORD) >= least)
+
+
+def has_run(text: Column, least: int) -> Column:
+    """Whether english_runs() finds any; the search ends at the first."""
+    word = r"[A-Za-z][A-Za-z'’-]*+"
+    return F.rlike(plain(text), F.lit(rf"{word}(?:[{JAVA_SPACES},;:]++{word}){{{least - 1}}}"))
+
+
 def squash(text: Column) -> Column:
     """Without placeholders, tags and white space: what texts are compared by."""
     tagless = F.regexp_replace(F.regexp_replace(text, PLACEHOLDER, ""), r"<[^>]+>", "")
     return without_space(F.when(_marked(text), tagless).otherwise(text))
 
 
+def squashed_start(text: Column, most: int) -> Column:
+    """The first characters of squash(text). A text that shows them at its start, before any mark, is read no further."""
+    start = F.substring(text, 1, 4 * most)
+    tight = F.substring(without_space(start), 1, most)
+    return F.when(~_marked(start) & (F.length(tight) == most), tight).otherwise(F.substring(squash(text), 1, most))
+
+
 def key(text: Column) -> Column:
     """Key of notes and corrections."""
     return F.sha2(strip(text), 256)

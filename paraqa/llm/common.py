@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir, staged  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -17,26 +16,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one is set only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="paraqa-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the scratch folder and reads it back.
-
-    The lineage ends here: a lost executor costs no more than the tasks after this table.
-    The tables are the job's; whoever ends the job can delete the scratch folder.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

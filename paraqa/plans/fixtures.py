@@ -41,8 +41,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with drafts: in full, without digits, with the first line left as it was, and with one in ten empty."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.col("text").alias("source"))
     full = T.pseudo_translation(F.col("source"))
-    first = F.regexp_extract("source", r"^[^\n]*", 0)
-    rest = T.pseudo_translation(F.regexp_replace("source", r"^[^\n]*", ""))
+    first = F.substring_index("source", "\n", 1)
+    rest = T.pseudo_translation(F.substring(F.col("source"), F.length(first) + 1, F.length("source")))
     return docs.select("doc_id", "source", full.alias("draft"), F.regexp_replace(full, "[0-9]+", "").alias("draft_nonum"), F.concat(first, rest).alias("draft_partial"), F.when(F.col("doc_id") % 10 == 0, "").otherwise(full).alias("draft_empty"))
 
 

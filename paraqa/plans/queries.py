@@ -357,8 +357,10 @@ def _overrides(spark, sf_dir) -> DataFrame:
 
 
 def _notes(spark, sf_dir) -> DataFrame:
-    rows = X.pairs(spark, sf_dir).where("doc_id % 2 = 0").groupBy(T.key(F.col("source")).alias("k")).agg(F.min("doc_id").alias("d"), F.min_by("draft_nonum", "doc_id").alias("draft"), F.min_by("draft", "doc_id").alias("final"))
-    return rows.select("k", "draft", "final", F.array(F.concat(F.lit("p"), F.col("d"))).alias("problems"))
+    """Translated after sources with one key became one row."""
+    rows = X.pairs(spark, sf_dir).where("doc_id % 2 = 0").groupBy(T.key(F.col("source")).alias("k")).agg(F.min("doc_id").alias("d"), F.min_by("source", "doc_id").alias("source"))
+    rows = rows.withColumn("final", T.pseudo_translation(F.col("source")))
+    return rows.select("k", F.regexp_replace("final", "[0-9]+", "").alias("draft"), "final", F.array(F.concat(F.lit("p"), F.col("d"))).alias("problems"))
 
 
 _FINISH = f"""WITH {X.PAIRS}, o AS (SELECT sha256({STRIP.format('text')}) AS k, max('手动' || doc_id) AS translation FROM documents WHERE doc_id % 7 = 0 GROUP BY 1),
@@ -474,31 +476,32 @@ report AS (SELECT seq, kind, page, md5(source) AS source FROM k LEFT JOIN found
 )
 
 
-def _items(spark, sf_dir) -> DataFrame:
+def _items(spark, sf_dir, *shown) -> DataFrame:
     drafts = X.pairs(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("draft").alias("text"))
-    return report.build(_paragraphs(spark, sf_dir), drafts, _blocks(spark, sf_dir))
+    return report.build(_paragraphs(spark, sf_dir), drafts, _blocks(spark, sf_dir), shown)
 
 
 @query("report_items", _ITEMS + " SELECT * FROM report ORDER BY list_position(['check', 'english', 'fixed', 'manual'], kind), coalesce(page, 1000000), seq")
 def report_items(spark, sf_dir):
-    return _items(spark, sf_dir).select("seq", "kind", "page", F.md5("source").alias("source"))
+    return _items(spark, sf_dir, F.md5("source").alias("source")).select("seq", "kind", "page", "source")
 
 
 @query("report_summary", _ITEMS + ' SELECT count(*) FILTER (kind = \'check\') AS "check", count(*) FILTER (kind = \'english\') AS english, count(*) FILTER (kind = \'fixed\') AS fixed, count(*) FILTER (kind = \'manual\') AS manual, (SELECT count(*) FROM pairs) AS paragraphs FROM report')
 def report_summary(spark, sf_dir):
-    return report.summary(_items(spark, sf_dir), X.pairs(spark, sf_dir))
+    return report.summary(_paragraphs(spark, sf_dir), _blocks(spark, sf_dir))
 
 
 @query("report_filter_kind", _ITEMS + " SELECT * FROM report WHERE kind = 'english'")
 def report_filter_kind(spark, sf_dir):
-    return report_items(spark, sf_dir).where("kind = 'english'")
+    sources = X.pairs(spark, sf_dir).select("source")
+    return report.english_items(sources, _blocks(spark, sf_dir)).select("seq", "kind", "page", F.md5("source").alias("source"))
 
 
 @query("report_snippets", _ITEMS.replace("lambda x: x IS NOT NULL), ',')", "lambda x: x IS NOT NULL), '; ')").replace("md5(source) AS source FROM k LEFT", "source, final, issues, problems, corrected FROM k LEFT").replace("md5(text) FROM english", "text, '', '', '', false FROM english") + """
   SELECT seq, kind, md5(CASE WHEN kind = 'manual' THEN 'manual' WHEN kind = 'english' THEN 'english' WHEN issues <> '' THEN issues || CASE WHEN problems <> '' THEN '; review:' || problems ELSE '' END WHEN problems <> '' THEN problems ELSE 'corrected' END
     || ' | ' || substr(CASE WHEN final <> '' THEN final ELSE source END, 1, 80)) AS snippet FROM report""")
 def report_snippets(spark, sf_dir):
-    return _items(spark, sf_dir).select("seq", "kind", F.md5(report.snippet()).alias("snippet"))
+    return _items(spark, sf_dir, F.md5(report.snippet()).alias("snippet")).select("seq", "kind", "snippet")
 
 
 @query("block_scan", "SELECT page_id AS page, i - 1 AS i, md5(l[i]) AS text FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages), unnest(range(1, len(l) + 1)) AS t(i)")
