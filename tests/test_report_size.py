@@ -19,6 +19,16 @@ def explained(df):
     return out.getvalue().split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
 
 
+def test_a_filter_on_the_kind_does_not_repeat_the_checks(spark):
+    plan = explained(plans.QUERIES["report_summary"](spark, SF))
+    assert plan.count("markup") == 1
+
+
+def test_counts_look_at_no_page_and_sort_nothing(spark):
+    plan = explained(plans.QUERIES["report_summary"](spark, SF))
+    assert "MapInArrow" not in plan and "Sort [" not in plan
+
+
 def test_items_are_digests_before_they_are_dealt_out(spark):
     for name in ("report_items",):
         plan = explained(plans.QUERIES[name](spark, SF))
