@@ -30,7 +30,7 @@ def test_counts_look_at_no_page_and_sort_nothing(spark):
 
 
 def test_items_are_digests_before_they_are_dealt_out(spark):
-    for name in ("report_items",):
+    for name in ("report_items", "report_snippets"):
         plan = explained(plans.QUERIES[name](spark, SF))
         assert "documents.parquet" not in plan and "regexp" not in plan.split("MapInArrow")[0]
 
